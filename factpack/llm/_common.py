@@ -91,3 +91,24 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         held += n
     if len(sizes) > start:
         yield batch.slice(start)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], buckets: int = 256, name: str = "rank") -> DataFrame:
+    """df with the column ``name`` (long, from 0): the place of a row among the rows with its keys.
+
+    Rows are dealt by a hash of the ``order`` columns into buckets, ranked in their bucket, and
+    moved on by the sizes of the buckets before: no window holds all rows of a key. Places follow the
+    bucket, then ``order``; rows that are alike in all of ``order`` are interchangeable.
+    """
+    from pyspark.sql import Window
+
+    at = [*keys, "_bucket"]
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(at)], F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(*at).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(at)]
+    out = placed.join(sizes, same)
+    rank = (F.col("_before") + F.col("_row") - 1).cast("long")
+    return out.select(*df.columns, rank.alias(name))
