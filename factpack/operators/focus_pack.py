@@ -171,10 +171,13 @@ def pack(units: list[Unit], budget: int) -> Pack:
     by_id = {u.unit_id: u for u in units}
     state, left = State(), budget
     out = Pack({}, [], set(), set())
-    pending = sorted(units, key=state.order)
+    pending, sorted_by = list(units), None
     while pending:
-        u = min(pending, key=state.order)
-        pending.remove(u)
+        # the order changes with these three alone
+        if (now := (state.focus, state.supports > 0, state.shown_open)) != sorted_by:
+            pending.sort(key=state.order, reverse=True)
+            sorted_by = now
+        u = pending.pop()
         detail = state.detail(u, left)
         if detail is None:
             out.omitted.append(u.unit_id)

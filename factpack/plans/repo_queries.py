@@ -1,5 +1,92 @@
 """Queries over source repositories (no driver table holds source text, so they bring their own)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import focus_pack
+from ..sources import repo, samples
+from . import compile as compiling
+from . import semantics
+
+_queries: dict = {}
+
+
+def query(f):
+    _queries[f.__name__] = f
+    return f
+
 
 def queries():
-    return {}
+    return dict(_queries)
+
+
+def _files(spark):
+    return repo.from_texts(spark, samples.REPOS)
+
+
+def _asked(spark):
+    return spark.createDataFrame(samples.QUERIES, "query_id string, query string, budget int")
+
+
+@query
+def q_py_facts(spark, sf_dir):
+    """Syntax facts by repository, file and kind."""
+    return repo.facts(_files(spark)).groupBy("repo_id", "path", "fact").agg(F.count("*").alias("n"))
+
+
+@query
+def q_bindings(spark, sf_dir):
+    """Names bound in each scope, by kind."""
+    facts = repo.facts(_files(spark))
+    bad = facts.where("fact = 'diagnostic'").select("repo_id", "path").distinct()
+    _, bindings = semantics.bind(facts.join(bad, ["repo_id", "path"], "left_anti"))
+    return bindings.select("repo_id", "scope_id", "name", "binding_kind", "symbol_id")
+
+
+@query
+def q_resolved_imports(spark, sf_dir):
+    """Imports with a proven target."""
+    return semantics.analyse(_files(spark)).imports.select("repo_id", "import_id", "bound_name", "target_kind", "target_name", "target")
+
+
+@query
+def q_dependencies(spark, sf_dir):
+    """Proven edges between symbols."""
+    return semantics.analyse(_files(spark)).dependencies.select("repo_id", "src", "dst", "kind")
+
+
+@query
+def q_frontier(spark, sf_dir):
+    """What could not be proven, with the reason."""
+    program = semantics.analyse(_files(spark))
+    open_ = program.frontier.select("repo_id", F.col("access_text").alias("text"), "reason_code", "context")
+    return open_.unionByName(program.unsupported.select("repo_id", F.col("construct_text").alias("text"), "reason_code", F.lit("unsupported").alias("context")))
+
+
+@query
+def q_compile(spark, sf_dir):
+    """A compiled document for each query and repository."""
+    found = compiling.compile_context(_files(spark), _asked(spark))
+    return found.select("query_id", "repo_id", "budget", "total_tokens", F.round("confidence", 6).alias("confidence"), F.size("selections").alias("n_selected"), F.size("omitted_unit_ids").alias("n_omitted"), F.md5("document").alias("document_md5"))
+
+
+@query
+def q_focus_pack(spark, sf_dir):
+    """Focus packing of all documents: a source is a repository, a document supports the next one in it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    after = docs.select("source", F.col("doc_id").alias("d")).groupBy("source").agg(F.array_sort(F.collect_list("d")).alias("ids"))
+    pairs = after.select(F.col("source").alias("repo_id"), F.inline(F.zip_with(F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids) - 1)"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    edges = pairs.select("repo_id", F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
+    wanted = F.array(*[F.lit(x) for x in spark.range(1).select(X.terms(F.lit("the house of water and stone"))).first()[0]])
+    kind = F.when(F.col("lang") == "en", "proven_symbol").otherwise("unresolved_frontier")
+    parts = {"identity": F.substring("text", 1, 40), "summary": F.substring("text", 1, 160), "source": F.col("text")}
+    units = docs.select(F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("unit_id"), kind.alias("kind"), F.col("lang").alias("path"), F.lit(1).alias("sl"), F.lit(0).alias("sc"), F.lit(None).cast("string").alias("enclosing_scope_id"), F.lit(None).cast("string").alias("file_scope_id"), X.overlap(wanted, X.terms(F.col("text"))).alias("p_edit"), *[c.alias(k) for k, c in parts.items()])
+    units = units.withColumns({f"{k}_tokens": X.estimate_tokens(F.col(k)) for k in parts})
+    scores = units.select(F.lit("q").alias("query_id"), "repo_id", "unit_id", "p_edit", (0.3 * F.col("p_edit")).alias("p_support"))
+    budgets = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(4000).alias("budget"))
+    # the document text is not part of the result, so the texts are not sent to the packer
+    light = units.drop("p_edit").withColumns({k: F.lit("") for k in parts})
+    packed = focus_pack.pack_table(light, scores, edges, budgets, whole=False)
+    return packed.select(F.col("repo_id").alias("source"), F.col("unit_id").cast("long").alias("doc_id"), "rank", "detail", "token_count", "total_tokens", F.round("confidence", 6).alias("confidence"))

@@ -82,7 +82,8 @@ def direct(unit_table: DataFrame, queries: DataFrame, embed: Callable[[list[str]
     searchable = joined(F.col("primary_text"), F.col("path"), F.col("extra"), F.col("summary"))
     body = F.when(F.col("symbol_kind").isin(_BODY_KINDS), F.col("source"))
     rows = unit_table.select("repo_id", "unit_id", "kind", "scope_id", "primary_text", "path", searchable.alias("searchable"), body.alias("body"))
-    rows = rows.join(F.broadcast(queries.limit(MAX_QUERIES)), "repo_id") if "repo_id" in queries.columns else rows.join(F.broadcast(queries.limit(MAX_QUERIES)))
+    asked_here = F.broadcast(bounded(queries))
+    rows = rows.join(asked_here, "repo_id") if "repo_id" in queries.columns else rows.join(asked_here)
     lexical = X.relevance(F.col("query"), F.col("primary_text"), F.col("searchable"), F.col("path"), F.col("body"))
     if embed is None:
         meaning = F.lit(0.0)
@@ -97,10 +98,16 @@ def direct(unit_table: DataFrame, queries: DataFrame, embed: Callable[[list[str]
     return rows.select("query_id", "repo_id", "unit_id", "kind", "scope_id", F.when(asked, edit).otherwise(0.0).alias("p_edit"), F.when(asked, support).otherwise(0.0).alias("p_support"))
 
 
-#: Queries of one call; more are scored call by call, so that what is broadcast stays bounded.
+#: Queries of one call: the stated query set is what is broadcast, so its size is checked.
 MAX_QUERIES = 1000
 
 
+def bounded(queries: DataFrame) -> DataFrame:
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries in one call")
+    return queries
+
+
 def _embedded(embed):
     def run(texts: pd.Series) -> pd.Series:
         found = embed(texts.fillna("").tolist())
@@ -112,17 +119,11 @@ def _embedded(embed):
     return run
 
 
-def _keyed(df: DataFrame, *columns: str) -> Column:
-    return F.concat_ws("\x01", *columns)
-
-
 def score(program: Program, unit_table: DataFrame, queries: DataFrame, embed=None) -> DataFrame:
     """(query_id, repo_id, unit_id, p_edit, p_support): direct, then orchestration, dependency and scope."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"score at most {MAX_QUERIES} queries in one call")
     first = direct(unit_table, queries, embed)
     # a unit of a query is a vertex of its own
-    vertex = lambda c: _keyed(None, "query_id", "repo_id", c)
+    vertex = lambda c: F.concat_ws("\x01", "query_id", "repo_id", c)
     base = first.withColumnRenamed("unit_id", "unit").withColumn("unit_id", vertex("unit"))
     edges = program.dependencies.select("repo_id", "src", "dst").join(first.select("query_id", "repo_id").distinct(), "repo_id").select(vertex("src").alias("src"), vertex("dst").alias("dst"))
     raised = graph.orchestrated(base.select("unit_id", "query_id", "repo_id", "unit", "kind", "scope_id", "p_edit", "p_support"), edges)
