@@ -152,7 +152,7 @@ def test_line_dedup_is_brute_force(spark, odd, odd_clash, none):
                 if words and draw.random() < 0.7:
                     words[draw.randrange(len(words))] = "other"
             else:
-                words = prose(1000 * i + j, draw.choice([1, 4, 15, 25, 40, 80])).split()
+                words = prose(1000 * i + j, draw.choice([1, 4, 15, 25, 40, 80, 150])).split()
             lines.append(" ".join(words))
         texts.append("\n".join(lines))
     data = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
