@@ -37,9 +37,18 @@ def scan(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
     """(repo_id, path, content) of every ``*.py`` under root, through Spark's own reader."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(root)
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(top).toUri().getPath().rstrip("/")
     inner = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?/*", "/")
-    return files.select(F.lit(repo_id).alias("repo_id"), F.substring(inner, F.lit(len(base) + 2), F.length(inner)).alias("path"), "content")
+    held = files.select(F.substring(inner, F.lit(len(base) + 2), F.length(inner)).alias("path"), "content")
+    # Spark's readers leave empty files out, but an empty module is a module: their names come from the listing
+    listing, empty = store.listFiles(top, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and status.getPath().getName().endswith(".py"):
+            empty.append((status.getPath().toUri().getPath()[len(base) + 1 :], bytearray()))
+    whole = held.unionByName(spark.createDataFrame(empty, "path string, content binary")) if empty else held
+    return whole.select(F.lit(repo_id).alias("repo_id"), "path", "content")
 
 
 def from_texts(spark: SparkSession, repos: dict[str, dict[str, str]]) -> DataFrame:
