@@ -34,7 +34,9 @@ def queries():
 
 
 def oracle_sql():
-    return dict(_sql)
+    from . import repo_queries
+
+    return _sql | repo_queries.oracle_sql()
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import focus_pack
-from ..sources import repo, samples
+from ..sources import ledger, repo, samples, specs
+from ..tables import shared_dir
 from . import compile as compiling
-from . import semantics
+from . import evaluation, provenance, refine, scoring, semantics, tiers
 
 _queries: dict = {}
 
@@ -22,6 +25,59 @@ def queries():
     return dict(_queries)
 
 
+def _values(columns: str, rows: str) -> str:
+    """A table of rows, one a line, with ``|`` between their columns."""
+    each = ["(" + ", ".join("'" + x.replace("'", "''") + "'" for x in line.strip().split(" | ")) + ")" for line in rows.strip().split("\n")]
+    return f"SELECT * FROM (VALUES {', '.join(each)}) AS t({columns})"
+
+
+#: What the sample repositories hold, worked out by hand.
+_EDGES = """
+    library | def:lib/__init__.py:lib | def:lib/core.py:lib.core.load | import
+    library | def:lib/core.py:lib.core | def:lib/helpers.py:lib.helpers | import
+    library | def:lib/core.py:lib.core | def:lib/helpers.py:lib.helpers.tidy | import
+    library | def:lib/core.py:lib.core.load | def:lib/helpers.py:lib.helpers.strip | call
+    library | def:lib/core.py:lib.core.load | def:lib/helpers.py:lib.helpers.tidy | call
+    library | def:lib/core.py:lib.core.load_all | def:lib/core.py:lib.core.load | call
+    library | def:lib/helpers.py:lib.helpers.tidy | def:lib/helpers.py:lib.helpers.strip | call
+    shop | def:shop/app.py:shop.app | def:shop/base.py:shop.base.Handler | import
+    shop | def:shop/app.py:shop.app | def:shop/money.py:shop.money | import
+    shop | def:shop/app.py:shop.app.Desk | def:shop/base.py:shop.base.Handler | inheritance
+    shop | def:shop/app.py:shop.app.Desk.serve | def:shop/base.py:shop.base.Handler.check | call
+    shop | def:shop/app.py:shop.app.Desk.serve | def:shop/money.py:shop.money.convert | call
+    shop | def:shop/app.py:shop.app.route | def:shop/app.py:shop.app.Desk | call
+    shop | def:shop/base.py:shop.base.Handler.handle | assign:shop/base.py:2:4:1 | attribute
+    shop | def:shop/base.py:shop.base.Handler.handle | def:shop/base.py:shop.base.Handler.check | call
+    shop | def:shop/money.py:shop.money.rounded | def:shop/money.py:shop.money.convert | call
+"""
+_OPEN = """
+    library | open | unresolved_name | call
+    library | text.strip | unresolved_attribute | call
+    shop | from shop.money import * | star_import | unsupported
+    shop | getattr(order, 'name') | reflective_builtin | unsupported
+    shop | order.total | unresolved_attribute | attribute_access
+    shop | route | unresolved_name | call
+"""
+
+
+def oracle_sql():
+    return {
+        "q_dependencies": _values("repo_id, src, dst, kind", _EDGES),
+        "q_frontier": _values("repo_id, text, reason_code, context", _OPEN),
+        "q_ledger_roundtrip": """
+            SELECT o_orderpriority AS provider_name, count(*) AS n_runs, round(avg((o_totalprice < 300000)::INT), 6) AS compliance_rate, round(avg(round(o_totalprice / 600000, 6)), 6) AS avg_aggregate_score,
+              round(avg(CASE WHEN o_orderstatus <> 'O' THEN 0.5::DOUBLE END), 6) AS avg_support_coverage, NULL::DOUBLE AS avg_uncertainty_honesty
+            FROM orders GROUP BY o_orderpriority
+        """,
+        "q_ledger_winners": """
+            WITH r AS (SELECT o_orderstatus AS task_id, CAST(o_orderkey % 3 * 100 + 100 AS INTEGER) AS budget, o_orderpriority AS p, round(o_totalprice / 600000, 6) AS s FROM orders),
+            m AS (SELECT task_id, budget, max(s) AS score FROM r GROUP BY ALL)
+            SELECT task_id, budget, string_agg(DISTINCT p, ',' ORDER BY p) AS winners, score FROM r JOIN m USING (task_id, budget) WHERE s = score GROUP BY ALL
+        """,
+        "q_ledger_violations": "SELECT 'malformed' AS reason, count(*) AS n FROM documents UNION ALL SELECT 'duplicate_run_id', 1 FROM orders WHERE o_orderkey = 1",
+    }
+
+
 def _files(spark):
     return repo.from_texts(spark, samples.REPOS)
 
@@ -90,3 +146,77 @@ def q_focus_pack(spark, sf_dir):
     light = units.drop("p_edit").withColumns({k: F.lit("") for k in parts})
     packed = focus_pack.pack_table(light, scores, edges, budgets, whole=False)
     return packed.select(F.col("repo_id").alias("source"), F.col("unit_id").cast("long").alias("doc_id"), "rank", "detail", "token_count", "total_tokens", F.round("confidence", 6).alias("confidence"))
+
+
+def _runs(spark):
+    rows = [(f"{q}:{p}:{b}", "task", q, text, "shop", p, b) for q, text, _ in samples.QUERIES for p in ("lexical_top_k_files", "import_neighborhood_files", "file_order_floor") for b in (120, 260)]
+    return spark.createDataFrame(rows, "run_id string, task_id string, query_id string, query string, repo_id string, provider string, budget int")
+
+
+@query
+def q_file_packs(spark, sf_dir):
+    """Whole-file packs of the three file baselines."""
+    files = _files(spark)
+    packed = evaluation.file_runs(semantics.analyse(files), files, _runs(spark))
+    return packed.select("run_id", F.array_join("files", ",").alias("files"), F.array_join("warnings", ",").alias("warnings"), "total_tokens", "fits")
+
+
+@query
+def q_tiers(spark, sf_dir):
+    """Five-tier packs of the sample repositories."""
+    found = tiers.compile_tiers(_files(spark), _asked(spark))
+    return found.select("query_id", "repo_id", "node_id", "tier", "token_cost", "reason", "total_tokens")
+
+
+def _ledger(spark, sf_dir):
+    """Orders as runs: the priority is the provider, the status the task, a price band the budget."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    share = lambda c: F.round(c, 6)
+    metrics = F.struct(
+        (F.col("o_totalprice") < 300000).alias("budget_compliant"), share(F.col("o_totalprice") / 600000).alias("aggregate_score"), F.lit(1.0).alias("edit_coverage"),
+        F.when(F.col("o_orderstatus") != "O", 0.5).alias("support_coverage"), F.lit(0.25).alias("representation_adequacy"), F.lit(None).cast("double").alias("uncertainty_honesty"), F.lit(0.125).alias("noise_efficiency"),
+    )
+    return orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("task_id"), F.col("o_orderpriority").alias("provider_name"), (F.col("o_orderkey") % 3 * 100 + 100).cast("int").alias("budget"), metrics.alias("metrics"))
+
+
+@query
+def q_ledger_roundtrip(spark, sf_dir):
+    """Runs written as JSON lines, read strictly, and rolled up by provider."""
+    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.append(_ledger(spark, sf_dir), path)
+    found = evaluation.summarise(ledger.read(spark, path))["providers"]
+    return found.select("provider_name", "n_runs", F.round("compliance_rate", 6).alias("compliance_rate"), *[F.round(f"avg_{c}", 6).alias(f"avg_{c}") for c in ("aggregate_score", "support_coverage", "uncertainty_honesty")])
+
+
+@query
+def q_ledger_winners(spark, sf_dir):
+    """The best providers of each task and budget."""
+    lines = _ledger(spark, sf_dir).select(F.to_json(F.struct("*")).alias("line"))
+    found = evaluation.summarise(ledger.typed(lines))["winners"]
+    return found.select("task_id", "budget", F.array_join("winners", ",").alias("winners"), "score")
+
+
+@query
+def q_ledger_violations(spark, sf_dir):
+    """Lines that no ledger may have: one for every document beside good lines, and one run twice."""
+    good = _ledger(spark, sf_dir).select(F.to_json(F.struct("*")).alias("line"))
+    bad = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("{"), F.col("source")).alias("line"))
+    found = ledger.violations(good.unionByName(bad).unionByName(good.where("line like '%\"run_id\":\"1\",%'")))
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def q_provenance(spark, sf_dir):
+    """Boundaries that runtime observations may explain."""
+    return provenance.eligible(semantics.analyse(_files(spark))).select("repo_id", "family", "construct_id", "argc")
+
+
+@query
+def q_refine(spark, sf_dir):
+    """What a reported miss was about, and why the pack missed it."""
+    program = semantics.analyse(_files(spark))
+    asked = _asked(spark).where("query_id = 'q_convert'").withColumn("budget", F.lit(40))
+    packed, units = compiling.pack_units(program, asked), scoring.units(program)
+    none = provenance.attach(program, spark.createDataFrame([], specs.OBSERVATIONS))
+    misses = spark.createDataFrame([("m1", "q_convert", "shop", "absent_symbol", "route"), ("m2", "q_convert", "shop", "edit_to_omitted_path", "shop/money.py"), ("m3", "q_convert", "shop", "out_of_pack_trace", 'File "shop/base.py", line 5, in handle')], "miss_id string, query_id string, repo_id string, kind string, evidence string")
+    return refine.diagnose(misses, units, packed, provenance.trace_summaries(units, none))
