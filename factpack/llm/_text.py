@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -62,10 +63,11 @@ class Words:
     ``bounds`` has len + 1 places: the words of row k are ``bounds[k]:bounds[k + 1]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, skip: np.ndarray | None = None):
+        """``skip``: further bytes (a table of 256 flags) that stand between words, as white space does."""
         data, offsets = buffer(texts)
         self.data, self.offsets, n = (LOWER[data] if lower else data), offsets, len(data)
-        space = SPACE[data]
+        space = SPACE[data] if skip is None else (SPACE | skip)[data]
         begins, ends = ~space, ~space
         inner = offsets[(offsets > 0) & (offsets < n)]
         if n:

@@ -4,9 +4,10 @@ A rating is a grade from 0 to G - 1. One weight vector over hashed text features
 grades, and ordered thresholds t_1 < ... < t_(G-1) give ``P(grade >= j) = sigmoid(w . x - t_j)``, so
 that a document gets its expected grade and the tail probability that selection uses.
 
-Features are binary: the distinct lower-cased words of the whole text, and the distinct last two
-bytes of its words, hashed into ``2 ** BITS`` places; a place that fewer than ``LEAST`` training texts
-have keeps the weight 0. Training uses at most ``MAX_RATED`` rated documents, those of the least hash
+Features are binary: the distinct lower-cased words of the whole text without the punctuation, the distinct
+last two bytes of its words, and whether a word follows two equal ones, hashed into ``2 ** BITS`` places. A place has a weight other than 0 only if
+``LEAST`` training texts have it, and the share of them at or above some grade is ``SCREEN`` standard
+errors from that of all: rare and neutral words, of which a long text has many, add no noise. Training uses at most ``MAX_RATED`` rated documents, those of the least hash
 of their id (a documented bound on a labelled sample; everything else covers all rows). The driver
 fits them by full-batch gradient steps (Adam) with an L2 penalty; scoring is one pass without shuffle.
 
@@ -26,10 +27,15 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._common import documents, null_text, pieces
 
-BITS, LEAST, MAX_RATED, GRADES = 18, 3, 6000, 3
+BITS, LEAST, SCREEN, MAX_RATED, GRADES = 18, 5, 5.0, 20_000, 3
 STEPS, RATE, PENALTY = 150, 0.05, 2e-4
 
 
+#: Bytes that are taken off either end of a word: ASCII punctuation.
+_EDGE = np.zeros(256, bool)
+_EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct feature places of each row, and len + 1 bounds into them."""
     words = T.Words(texts, lower=True)
@@ -37,8 +43,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tails = words.data[words.end - 1].astype(np.uint64) << T.U(8)
     longer = words.end - words.start > 1
     tails[longer] |= words.data[words.end[longer] - 2]
-    places = np.concatenate([words.hash, T.mix(tails + T.U(1 << 40))]) >> T.U(64 - BITS)
-    keys = np.unique(np.concatenate([words.doc, words.doc]).astype(np.int64) << BITS | places.astype(np.int64))
+    # words that follow two equal ones
+    again = np.zeros(len(words.hash), bool)
+    again[2:] = (words.hash[2:] == words.hash[1:-1]) & (words.hash[2:] == words.hash[:-2]) & (words.doc[2:] == words.doc[:-2])
+    inner = T.Words(texts, lower=True, skip=_EDGE)
+    runs = np.full(int(again.sum()), 1 << 41, np.uint64)
+    places = np.concatenate([inner.hash, T.mix(tails + T.U(1 << 40)), T.mix(runs)]) >> T.U(64 - BITS)
+    owner = np.concatenate([inner.doc, words.doc, words.doc[again]])
+    keys = np.unique(owner.astype(np.int64) << BITS | places.astype(np.int64))
     return (keys & (1 << BITS) - 1).astype(np.int32), np.searchsorted(keys >> BITS, np.arange(rows + 1))
 
 
@@ -65,7 +77,14 @@ class OrdinalModel:
     def fit(cls, places: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
         """Maximum penalised likelihood; thresholds are a first one and positive gaps (their logs)."""
         size, rows = 1 << BITS, len(grades)
-        used = np.bincount(places, minlength=size) >= LEAST
+        held = np.bincount(places, minlength=size)
+        apart = np.zeros(size)
+        for j in range(1, n_grades):
+            above = (grades >= j).astype(np.float64)
+            pull = np.bincount(places, np.repeat(above - above.mean(), np.diff(bounds)), minlength=size)
+            error = np.sqrt(np.maximum(held * (1 - held / rows) * above.var(), 1e-12))
+            apart = np.maximum(apart, np.abs(pull) / error)
+        used = (held >= LEAST) & (apart >= SCREEN)
         number = np.cumsum(used) - 1
         row = np.repeat(np.arange(rows), np.diff(bounds))[used[places]]
         column = number[places[used[places]]]
