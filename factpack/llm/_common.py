@@ -54,7 +54,7 @@ def table(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a replicated cut of the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factpack-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._factpack_path = path
