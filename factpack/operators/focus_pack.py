@@ -38,6 +38,7 @@ class Unit:
     text: dict[str, str] = field(default_factory=dict)
     sources: frozenset = frozenset()
     targets: frozenset = frozenset()
+    name: str | None = None
 
     @property
     def proven(self) -> bool:
@@ -265,7 +266,7 @@ def fit(units: list[Unit], budget: int) -> tuple[Pack, str]:
     return best
 
 
-PACKED = "query_id string, repo_id string, budget int, unit_id string, rank int, detail string, token_count int, basis string, suppressed boolean, warnings array<struct<code:string,message:string>>, total_tokens int, confidence double, document string"
+PACKED = "query_id string, repo_id string, budget int, unit_id string, rank int, detail string, token_count int, basis string, reason string, suppressed boolean, warnings array<struct<code:string,message:string>>, total_tokens int, confidence double, document string"
 
 
 def _basis(u: Unit, by_id: dict[str, Unit]) -> str:
@@ -275,6 +276,29 @@ def _basis(u: Unit, by_id: dict[str, Unit]) -> str:
     return "proven_dependency" if proven else "heuristic_candidate"
 
 
+def reason(u: Unit, detail: str, by_id: dict[str, Unit]) -> str:
+    """Why a unit was chosen, and why at another detail than the preferred one."""
+    scores = f"(p_edit={u.p_edit:.2f}, p_support={u.p_support:.2f})"
+    if _basis(u, by_id) == "proven_dependency":
+        best = min((by_id[s] for s in u.sources if s in by_id), key=lambda x: (-x.p_edit, x.unit_id))
+        said = f"selected as repository-backed support for {best.name or best.unit_id} {scores}"
+    elif u.proven:
+        said = f"selected for direct semantic relevance {scores}"
+    else:
+        what = "unresolved uncertainty" if u.kind == "unresolved_frontier" else "unsupported behavior"
+        around = f" around {by_id[u.scope].name or u.scope}" if u.scope in by_id else f" around {u.scope}" if u.scope else ""
+        said = f"selected to surface directly relevant {what} {scores}" if u.p_edit >= u.p_support else f"selected to keep {what} visible{around} {scores}"
+    wanted = u.preferred()
+    if wanted is None or wanted == detail:
+        return said
+    if RANK[detail] < RANK[wanted]:
+        return f"{said}; downgraded to {detail} under budget pressure"
+    more = u.tokens[detail] - u.tokens[wanted]
+    if more <= 0:
+        return f"{said}; promoted to {detail} because it cost no more than {wanted}"
+    return f"{said}; promoted to {detail} because the richer view stayed within pack slack (+{more} tokens over {wanted})"
+
+
 def pack_table(unit_table: DataFrame, scores: DataFrame, edges: DataFrame, budgets: DataFrame, whole: bool = True) -> DataFrame:
     """A row for each unit of each (query, repository, budget): detail null where it was omitted.
 
@@ -283,13 +307,13 @@ def pack_table(unit_table: DataFrame, scores: DataFrame, edges: DataFrame, budge
     near = edges.select("repo_id", F.col("src").alias("unit_id"), F.col("dst").alias("t"), F.lit(None).cast("string").alias("s")).unionByName(edges.select("repo_id", F.col("dst").alias("unit_id"), F.lit(None).cast("string").alias("t"), F.col("src").alias("s")))
     near = near.groupBy("repo_id", "unit_id").agg(F.array_sort(F.collect_set("t")).alias("targets"), F.array_sort(F.collect_set("s")).alias("sources"))
     rows = unit_table.join(near, ["repo_id", "unit_id"], "left").join(scores, ["repo_id", "unit_id"]).join(budgets, "query_id")
-    rows = rows.select("query_id", "repo_id", F.col("budget").cast("int").alias("budget"), "unit_id", "kind", "path", "sl", "sc", "p_edit", "p_support", "enclosing_scope_id", "file_scope_id", *[f"{d}{s}" for d in RANK for s in ("", "_tokens")], "targets", "sources")
+    rows = rows.select("query_id", "repo_id", F.col("budget").cast("int").alias("budget"), "unit_id", "kind", "path", "sl", "sc", "p_edit", "p_support", "enclosing_scope_id", "file_scope_id", "primary_text", *[f"{d}{s}" for d in RANK for s in ("", "_tokens")], "targets", "sources")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         none = lambda x: x if isinstance(x, str) else None
         many = lambda x: frozenset() if x is None or isinstance(x, float) else frozenset(x)
         units = [
-            Unit(r.unit_id, r.kind, r.path, r.sl, r.sc, r.p_edit, r.p_support, {d: int(getattr(r, f"{d}_tokens")) for d in RANK}, none(r.enclosing_scope_id), none(r.file_scope_id), {d: getattr(r, d) for d in RANK}, many(r.sources), many(r.targets))
+            Unit(r.unit_id, r.kind, r.path, r.sl, r.sc, r.p_edit, r.p_support, {d: int(getattr(r, f"{d}_tokens")) for d in RANK}, none(r.enclosing_scope_id), none(r.file_scope_id), {d: getattr(r, d) for d in RANK}, many(r.sources), many(r.targets), none(r.primary_text))
             for r in part.itertuples(index=False)
         ]
         units.sort(key=Unit.order)
@@ -304,7 +328,7 @@ def pack_table(unit_table: DataFrame, scores: DataFrame, edges: DataFrame, budge
         total = sum(by_id[k].tokens[d] for k, d in made.chosen.items())
         sure = confidence(units, made.chosen)
         out = [
-            (part["query_id"].iloc[0], part["repo_id"].iloc[0], budget, u.unit_id, i, made.chosen.get(u.unit_id), u.tokens[made.chosen[u.unit_id]] if u.unit_id in made.chosen else 0, _basis(u, by_id), u.unit_id in made.suppressed, notes.get(u.unit_id, []), total, sure, said if i == 0 else None)
+            (part["query_id"].iloc[0], part["repo_id"].iloc[0], budget, u.unit_id, i, made.chosen.get(u.unit_id), u.tokens[made.chosen[u.unit_id]] if u.unit_id in made.chosen else 0, _basis(u, by_id), reason(u, made.chosen[u.unit_id], by_id) if u.unit_id in made.chosen else None, u.unit_id in made.suppressed, notes.get(u.unit_id, []), total, sure, said if i == 0 else None)
             for i, u in enumerate(units)
         ]
         return pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])

@@ -27,7 +27,7 @@ def results(packed: DataFrame, queries: DataFrame) -> DataFrame:
     notes = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("detail").isNull(), 1).otherwise(0).alias("late"), "rank", "unit_id", "warnings"))), lambda x: F.transform(x["warnings"], lambda w: F.struct(w["code"].alias("code"), x["unit_id"].alias("unit_id"), w["message"].alias("message")))))
     out = packed.groupBy("query_id", "repo_id", "budget").agg(
         F.max("document").alias("document"),
-        ordered(chosen, "unit_id", "detail", "token_count", "basis").alias("selections"),
+        ordered(chosen, "unit_id", "detail", "token_count", "basis", "reason").alias("selections"),
         F.transform(ordered(~chosen, "unit_id"), lambda x: x["unit_id"]).alias("omitted_unit_ids"),
         notes.alias("warnings"),
         F.max("total_tokens").alias("unit_tokens"),

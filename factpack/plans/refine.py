@@ -75,6 +75,39 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy(*_KEYS, "status", "boundary").agg(F.count("*").alias("n"))
 
 
+#: What is said of n units by status and kind of boundary (not every pair can occur).
+_STATIC, _HEURISTIC, _OPAQUE = "statically proved unit(s)", "heuristic frontier unit(s)", "unsupported/opaque unit(s)"
+_BACKED, _BARE = "_with_attached_runtime_support", "_missing_runtime_support"
+SENTENCES = {
+    ("omitted", "statically_proved"): f"{_STATIC} were omitted due to budget pressure.",
+    ("omitted", "heuristic_frontier" + _BARE): f"{_HEURISTIC} were omitted; they remain non-proof boundary work without attached runtime-backed support.",
+    ("omitted", "heuristic_frontier" + _BACKED): f"{_HEURISTIC} with attached runtime-backed provenance were omitted.",
+    ("omitted", "unsupported_opaque" + _BARE): f"{_OPAQUE} were omitted; they remain boundary work without attached runtime-backed support.",
+    ("omitted", "unsupported_opaque" + _BACKED): f"{_OPAQUE} with attached runtime-backed provenance were omitted.",
+    ("too_shallow", "statically_proved"): f"{_STATIC} were present but too shallow.",
+    ("too_shallow", "heuristic_frontier" + _BACKED): f"{_HEURISTIC} carried attached runtime-backed provenance but were still too shallow.",
+    ("too_shallow", "unsupported_opaque" + _BACKED): f"{_OPAQUE} carried attached runtime-backed provenance but were still too shallow.",
+    ("sufficiently_represented", "statically_proved"): f"{_STATIC} were already sufficiently represented.",
+    ("sufficiently_represented", "heuristic_frontier" + _BARE): f"{_HEURISTIC} were already surfaced as non-proof boundary work without attached runtime-backed support.",
+    ("sufficiently_represented", "heuristic_frontier" + _BACKED): f"{_HEURISTIC} were already surfaced with attached runtime-backed provenance.",
+    ("sufficiently_represented", "unsupported_opaque" + _BARE): f"{_OPAQUE} were already surfaced as boundary work without attached runtime-backed support.",
+    ("sufficiently_represented", "unsupported_opaque" + _BACKED): f"{_OPAQUE} were already surfaced with attached runtime-backed provenance.",
+}
+
+
+def reasons(misses: DataFrame, found: DataFrame) -> DataFrame:
+    """(keys, reason): one text for each miss, its sentences in the order of ``SENTENCES``."""
+    spark = found.sparkSession
+    table = F.broadcast(spark.createDataFrame([(s, b, i, t) for i, ((s, b), t) in enumerate(SENTENCES.items())], "status string, boundary string, place int, said string"))
+    counted = summary(found).join(table, ["status", "boundary"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("said")).alias("said")))), lambda x: x["said"])
+    total = found.groupBy(*_KEYS).agg(F.count("*").alias("total"))
+    told = counted.groupBy(*_KEYS).agg(parts.alias("parts"))
+    rows = misses.select(*_KEYS).join(total, _KEYS, "left").join(told, _KEYS, "left")
+    text = F.concat_ws(" ", F.concat(F.lit("Grounded "), F.col("total").cast("string"), F.lit(" semantic unit(s).")), "parts")
+    return rows.select(*_KEYS, F.when(F.col("total").isNull(), "Could not ground the evidence to accepted semantic unit IDs.").otherwise(text).alias("reason"))
+
+
 def boosts(found: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Floors for the units to act on, and support for what the proven ones among them depend on."""
     acting = found.where("status != 'sufficiently_represented'")

@@ -138,7 +138,7 @@ def q_focus_pack(spark, sf_dir):
     wanted = F.array(*[F.lit(x) for x in spark.range(1).select(X.terms(F.lit("the house of water and stone"))).first()[0]])
     kind = F.when(F.col("lang") == "en", "proven_symbol").otherwise("unresolved_frontier")
     parts = {"identity": F.substring("text", 1, 40), "summary": F.substring("text", 1, 160), "source": F.col("text")}
-    units = docs.select(F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("unit_id"), kind.alias("kind"), F.col("lang").alias("path"), F.lit(1).alias("sl"), F.lit(0).alias("sc"), F.lit(None).cast("string").alias("enclosing_scope_id"), F.lit(None).cast("string").alias("file_scope_id"), X.overlap(wanted, X.terms(F.col("text"))).alias("p_edit"), *[c.alias(k) for k, c in parts.items()])
+    units = docs.select(F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").cast("string").alias("primary_text"), kind.alias("kind"), F.col("lang").alias("path"), F.lit(1).alias("sl"), F.lit(0).alias("sc"), F.lit(None).cast("string").alias("enclosing_scope_id"), F.lit(None).cast("string").alias("file_scope_id"), X.overlap(wanted, X.terms(F.col("text"))).alias("p_edit"), *[c.alias(k) for k, c in parts.items()])
     units = units.withColumns({f"{k}_tokens": X.estimate_tokens(F.col(k)) for k in parts})
     scores = units.select(F.lit("q").alias("query_id"), "repo_id", "unit_id", "p_edit", (0.3 * F.col("p_edit")).alias("p_support"))
     budgets = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(4000).alias("budget"))

@@ -8,6 +8,7 @@ import pytest
 from factpack.operators import file_packs
 from factpack.plans import compile as C
 from factpack.plans import evaluation as E
+from factpack.plans import experiment
 from factpack.plans import provenance, refine, scoring, semantics
 from factpack.sources import ledger, repo, specs
 from pyspark.sql import functions as F
@@ -163,6 +164,23 @@ def test_runs_and_metrics(spark, program, files):
     assert best.aggregate_score > lexical.aggregate_score
 
 
+def test_experiment(spark, files, tmp_path):
+    plan = {"plan_id": "p", "cases": [{"case_id": "c", "task_path": "t.json", "query": "change edit_me to work on the order", "budgets": [130, 400], "providers": list(specs.PROVIDERS)}]}
+    task = TASK | {"expected_selectors": [*TASK["expected_selectors"][:3], TASK["expected_selectors"][3] | {"expected_primary_capability_tier": "unsupported_opaque", "expect_attached_runtime_provenance": True}]}
+    rows = experiment.run(spark, json.dumps(plan), {"t.json": (json.dumps(task), "r")}, files, {"r": json.dumps(OBSERVED)})
+    path = f"{tmp_path}/ledger"
+    ledger.append(rows, path)
+    found = E.summarise(ledger.read(spark, path))
+    assert {(r.task_id, r.budget): r.winners for r in found["winners"].collect()}["t1", 400] == ["context_ir"]
+    means = {r.provider_name: r.avg_aggregate_score for r in found["providers"].collect()}
+    assert len(means) == 4 and max(means, key=means.get) == "context_ir"
+    assert [tuple(r) for r in found["tier_expectations"].collect()] == [("unsupported_opaque", 8, 8)]
+    assert [tuple(r) for r in found["runtime_expectations"].collect()] == [(True, 8, 8)]
+    assert {(r.key, r.value): r.n for r in found["outcomes"].collect()} == {("lookup_outcome", "returned_value"): 8}
+    with pytest.raises(ValueError, match="unresolved"):
+        experiment.run(spark, json.dumps(plan), {"t.json": (json.dumps(TASK | {"expected_selectors": [TASK["expected_selectors"][0] | {"qualified_name": "no.such"}]}), "r")}, files)
+
+
 def test_provenance(spark, program):
     observed = specs.observations(spark, {"r": json.dumps(OBSERVED)})
     assert provenance.unmatched(observed, program).count() == 0 and provenance.violations(observed, program).count() == 0
@@ -199,6 +217,9 @@ def test_refinement(spark, program):
     assert got["m1"] == got["m3"] == {("app.edit_me", "omitted", "statically_proved")}
     assert ("zed.nothing", "omitted", "statically_proved") in got["m2"] and "m4" not in got
     assert {x[2] for x in got["m5"]} == {"unsupported_opaque_with_attached_runtime_support"}
+    said = {r.miss_id: r.reason for r in refine.reasons(misses, found).collect()}
+    assert said["m1"] == "Grounded 1 semantic unit(s). 1 statically proved unit(s) were omitted due to budget pressure."
+    assert said["m4"] == "Could not ground the evidence to accepted semantic unit IDs."
     again, changes = refine.recompile(program, queries, misses, units, packed, traces, 400)
     chosen = {r.unit_id.split(":")[-1]: r.change for r in changes.collect()}
     assert chosen["app.edit_me"] == "newly_selected"

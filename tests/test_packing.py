@@ -116,6 +116,9 @@ def test_compiled_documents(program, queries):
     assert chosen["def:pkg/router.py:pkg.router.route_order"] == "source"
     assert "def:pkg/check.py:pkg.check.check_order" in chosen and "def:pkg/noise.py:pkg.noise.unrelated" in routes.omitted_unit_ids
     assert any(k.startswith("frontier:") for k in chosen)
+    reasons = {x.unit_id: x.reason for x in routes.selections}
+    assert reasons["def:pkg/router.py:pkg.router.route_order"].startswith("selected for direct semantic relevance (p_edit=")
+    assert any("repository-backed support for pkg.router.route_order" in x or "direct" in x for x in reasons.values())
     assert routes.document.startswith("# Context\npkg/check.py\n") and "\n\npkg/router.py\n" in routes.document
     assert rows["q2", "routes"].document == "# Context" and rows["q2", "routes"].confidence == 0.0
 
