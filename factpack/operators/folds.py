@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cosine
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key; Spark keeps k rows a key and task before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
+#: Probes of a block: what meets each vector at once.
+PROBE_BLOCK = 256
+
+
+def nearest(rows: DataFrame, id_: str, vector: str, probes: DataFrame, probe: str, probe_vector: str, k: int) -> DataFrame:
+    """(probe, id, score): the k rows of the highest cosine for each probe of a stated set.
+
+    Probes are gathered into blocks of a bounded size, and each row goes to each block: an equi-join on the
+    block, so that neither side has to fit a task, however many probes there are.
+    """
+    n = 1 + probes.count() // PROBE_BLOCK
+    held = probes.withColumn("_block", F.pmod(F.xxhash64(probe), F.lit(n)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(probe, probe_vector)).alias("_probes"))
+    dealt = rows.select(id_, vector, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
+    met = dealt.join(held, "_block").select(id_, vector, F.explode("_probes").alias("_p")).select(id_, vector, f"_p.{probe}", f"_p.{probe_vector}").where(F.col(id_) != F.col(probe))
+    scored = met.select(probe, id_, F.round(cosine(F.col(probe_vector), F.col(vector)), 6).alias("score"))
+    return top_k(scored, [probe], [F.col("score").desc(), F.col(id_)], k)
+
+
 def greedy_fit(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
     """Items in order, each taken if it still fits its key's budget: (keys, item, running).
 

@@ -140,20 +140,16 @@ def q_content_hash(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT vec_id AS probe, embedding AS e FROM embeddings WHERE vec_id < 5),
+    WITH p AS (SELECT vec_id AS probe, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT probe, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM p, embeddings WHERE probe <> vec_id)
     SELECT probe, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY probe ORDER BY score DESC, vec_id) <= 8
 """)
 def q_cosine_topk(spark, sf_dir):
-    """For five probe vectors, the eight nearest of all vectors by cosine.
-
-    The stated probes (five rows) are the broadcast side; norms are computed once a vector, and each
-    task keeps its own best eight of a probe before the shuffle.
-    """
+    """For every vector whose id is divisible by 100, the eight nearest of all vectors by cosine."""
     rows = _t(spark, sf_dir, "embeddings")
-    probes = F.broadcast(rows.where("vec_id < 5").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("e")))
-    scored = rows.join(probes, F.col("vec_id") != F.col("probe")).select("probe", "vec_id", F.round(X.cosine(F.col("e"), F.col("embedding")), 6).alias("score"))
-    return folds.top_k(scored, ["probe"], [F.col("score").desc(), F.col("vec_id")], 8)
+    probes = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("e"))
+    found = folds.nearest(rows, "vec_id", "embedding", probes, "probe", "e", 8)
+    return found.select("probe", "vec_id", F.col("score"))
 
 
 @query("""

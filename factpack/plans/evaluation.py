@@ -12,7 +12,8 @@ from ..functions import text as X
 from ..operators import file_packs, intervals, rollups
 from ..operators.relational import optional_match
 from ..sources import ledger as ledgers
-from .semantics import Program
+from .scoring import bounded
+from .semantics import Program, absolute_module
 
 #: How many files the baselines consider, and how many of them seed a neighbourhood.
 TOP_FILES, SEEDS = 8, 2
@@ -44,7 +45,7 @@ def unresolved_report(resolved: DataFrame) -> DataFrame:
 def scored_files(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, query, repo_id, path, text, tokens, score, rank) of every file, best first."""
     text = F.decode("content", "UTF-8")
-    rows = files.select("repo_id", "path", text.alias("text")).join(F.broadcast(queries.select("query_id", "query").distinct()))
+    rows = files.select("repo_id", "path", text.alias("text")).join(F.broadcast(bounded(queries.select("query_id", "query").distinct())))
     score = X.file_score(X.terms(F.col("query")), X.tokens(F.col("text")), X.tokens(F.col("path")))
     return rows.withColumns({"tokens": X.estimate_tokens(F.col("text")), "score": score})
 
@@ -53,8 +54,6 @@ def import_neighbours(program: Program) -> DataFrame:
     """(repo_id, path, ord, other, warning): the files that each file's imports name, in their order."""
     facts = program.facts
     modules = facts.where("fact = 'file'").groupBy("repo_id", F.col("module").alias("module")).agg(F.max("path").alias("other"))
-    from .semantics import absolute_module
-
     files = facts.where("fact = 'file'").select("repo_id", "path", F.col("module").alias("importer"))
     rows = facts.where("fact = 'import'").select("repo_id", "path", F.col("seq").alias("ord"), "kind", F.col("module").alias("said"), "imported", F.col("flag").alias("relative")).join(files, ["repo_id", "path"])
     base = absolute_module(F.col("said"), F.col("relative"), F.col("importer"), F.col("path").endswith("__init__.py"))
