@@ -44,7 +44,7 @@ def tool_response(spark: SparkSession, arguments: str, embed=None) -> str:
 
 #: Provider name -> what makes its packs: the compiled context, or one of the file baselines.
 PROVIDERS = {
-    "context_ir": compiling.pack_units,
+    "compiled_pack": compiling.pack_units,
     "lexical_top_k_files": evaluation.file_runs,
     "import_neighborhood_files": evaluation.file_runs,
     "file_order_floor": evaluation.file_runs,

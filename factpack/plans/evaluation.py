@@ -101,7 +101,7 @@ def file_warnings(program: Program, files: DataFrame, queries: DataFrame) -> Dat
 
 def file_runs(program: Program, files: DataFrame, runs: DataFrame) -> DataFrame:
     """runs (run_id, task_id, query_id, query, repo_id, provider, budget) of file providers -> packed documents."""
-    wanted = runs.where("provider != 'context_ir'")
+    wanted = runs.where("provider != 'compiled_pack'")
     candidates = file_candidates(program, files, wanted)
     rows = wanted.join(candidates.drop("query"), ["provider", "query_id", "repo_id"], "left").join(file_warnings(program, files, wanted), ["provider", "query_id", "repo_id"], "left")
     return file_packs.pack_files(rows)
@@ -115,7 +115,7 @@ def run_metrics(resolved: DataFrame, results: DataFrame, program: Program) -> Da
     units = results.select("run_id", F.explode("selected").alias("u")).select("run_id", F.col("u.unit_id").alias("unit_id"), F.col("u.detail").alias("detail"), F.col("u.token_count").alias("unit_tokens"))
     keys = ["run_id", "provider", "total_tokens", "files", "omitted", "warned"]
     rows = results.select(*keys, "task_id", "repo_id", "budget").join(resolved.where("status = 'resolved'"), ["task_id", "repo_id"]).join(units, ["run_id", "unit_id"], "left")
-    by_unit = F.col("provider") == "context_ir"
+    by_unit = F.col("provider") == "compiled_pack"
     rank = F.create_map(*[F.lit(x) for kv in DETAIL_RANK.items() for x in kv])
     shown = F.when(by_unit, F.col("detail").isNotNull()).otherwise(F.array_contains("files", F.col("path")))
     enough = F.when(by_unit, F.coalesce(rank[F.col("detail")] >= rank[F.col("min_detail")], F.lit(False))).otherwise(shown)

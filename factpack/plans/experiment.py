@@ -32,9 +32,9 @@ def run(spark: SparkSession, plan: str, tasks: dict[str, tuple[str, str]], files
     records = keep(provenance.attach(program, observed))
     traces = keep(provenance.trace_summaries(units, records))
 
-    asked = runs.where("provider = 'context_ir'").select(F.concat_ws("|", "case_id", "budget").alias("query_id"), "query", "budget", "repo_id").distinct()
+    asked = runs.where("provider = 'compiled_pack'").select(F.concat_ws("|", "case_id", "budget").alias("query_id"), "query", "budget", "repo_id").distinct()
     done = compiling.results(compiling.pack_units(program, asked, embed, keep), asked)
-    mine = runs.where("provider = 'context_ir'").withColumn("query_id", F.concat_ws("|", "case_id", "budget")).drop("query")
+    mine = runs.where("provider = 'compiled_pack'").withColumn("query_id", F.concat_ws("|", "case_id", "budget")).drop("query")
     texts = F.array().cast("array<string>")
     mine = mine.join(done.drop("budget"), ["query_id", "repo_id"]).select(
         "run_id", "task_id", "repo_id", "provider", "budget", "query", "total_tokens",

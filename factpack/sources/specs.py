@@ -19,7 +19,7 @@ REQUIRED = {
     "unsupported": ("file_path", "construct_text", "reason_code", "min_detail"),
 }
 DETAILS, ROLES = ("identity", "summary", "source"), ("edit", "support")
-PROVIDERS = ("context_ir", "lexical_top_k_files", "import_neighborhood_files", "file_order_floor")
+PROVIDERS = ("compiled_pack", "lexical_top_k_files", "import_neighborhood_files", "file_order_floor")
 GENERATED = ("access_id", "construct_id", "resolved_unit_id", "semantic_unit_id", "symbol_id", "unit_id")
 SELECTORS = (
     "task_id string, repo_id string, ord int, kind string, min_detail string, role string, qualified_name string, symbol_kind string, "

@@ -98,8 +98,8 @@ def test_specs_are_strict(spark):
     for change in ({"more": 1}, {"expected_selectors": []}, {"expected_selectors": [TASK["expected_selectors"][0] | {"unit_id": "x"}]}, {"expected_selectors": [TASK["expected_selectors"][0] | {"min_detail": "all"}]}):
         with pytest.raises(ValueError):
             specs.task_rows(json.dumps(TASK | change), "r")
-    case = {"case_id": "c", "task_path": "t.json", "query": "q", "budgets": [240, 200], "providers": ["context_ir", "file_order_floor"]}
-    assert [(r[0], r[4]) for r in specs.run_rows(json.dumps({"plan_id": "p", "cases": [case]}))] == [("p:c:context_ir:200", 200), ("p:c:context_ir:240", 240), ("p:c:file_order_floor:200", 200), ("p:c:file_order_floor:240", 240)]
+    case = {"case_id": "c", "task_path": "t.json", "query": "q", "budgets": [240, 200], "providers": ["compiled_pack", "file_order_floor"]}
+    assert [(r[0], r[4]) for r in specs.run_rows(json.dumps({"plan_id": "p", "cases": [case]}))] == [("p:c:compiled_pack:200", 200), ("p:c:compiled_pack:240", 240), ("p:c:file_order_floor:200", 200), ("p:c:file_order_floor:240", 240)]
     for change in ({"budgets": [0]}, {"providers": ["x"]}, {"task_path": "../t"}, {"extra": 1}):
         with pytest.raises(ValueError):
             specs.run_rows(json.dumps({"plan_id": "p", "cases": [case | change]}))
@@ -145,14 +145,14 @@ def test_runs_and_metrics(spark, program, files):
     assert rows["lexical_top_k_files:400"].files == ["app.py", "lib.py"] and rows["file_order_floor:400"].files == ["app.py", "lib.py", "zed.py"]
     assert rows["import_neighborhood_files:400"].warnings == ["star_import_not_expanded", "import_not_resolved"]
     assert all(r.fits and r.document.startswith("# Baseline Context") for r in rows.values())
-    asked = runs.where("provider = 'context_ir'").select(F.concat_ws(":", "query_id", "budget").alias("query_id"), "query", "budget")
+    asked = runs.where("provider = 'compiled_pack'").select(F.concat_ws(":", "query_id", "budget").alias("query_id"), "query", "budget")
     done = C.results(C.pack_units(program, asked), asked)
-    mine = done.select(F.concat(F.lit("context_ir:"), F.col("budget")).alias("run_id"), F.lit("t1").alias("task_id"), "repo_id", F.lit("context_ir").alias("provider"), "budget", "total_tokens", F.transform("selections", lambda s: F.struct(s["unit_id"].alias("unit_id"), s["detail"].alias("detail"), s["token_count"].alias("token_count"))).alias("selected"), F.array().cast("array<string>").alias("files"), F.col("omitted_unit_ids").alias("omitted"), F.transform("warnings", lambda w: w["unit_id"]).alias("warned"))
+    mine = done.select(F.concat(F.lit("compiled_pack:"), F.col("budget")).alias("run_id"), F.lit("t1").alias("task_id"), "repo_id", F.lit("compiled_pack").alias("provider"), "budget", "total_tokens", F.transform("selections", lambda s: F.struct(s["unit_id"].alias("unit_id"), s["detail"].alias("detail"), s["token_count"].alias("token_count"))).alias("selected"), F.array().cast("array<string>").alias("files"), F.col("omitted_unit_ids").alias("omitted"), F.transform("warnings", lambda w: w["unit_id"]).alias("warned"))
     theirs = packed.join(runs, "run_id").select("run_id", "task_id", "repo_id", "provider", "budget", F.col("total_tokens").cast("long").alias("total_tokens"), F.expr("cast(array() as array<struct<unit_id:string,detail:string,token_count:int>>)").alias("selected"), "files", F.array().cast("array<string>").alias("omitted"), F.array().cast("array<string>").alias("warned"))
     resolved = E.resolve_selectors(specs.selectors(spark, {"r": json.dumps(TASK)}), program)
     got = {r.run_id: r for r in E.run_metrics(resolved, mine.unionByName(theirs), program).collect()}
     assert len(got) == 8
-    best, lexical = got["context_ir:400"], got["lexical_top_k_files:400"]
+    best, lexical = got["compiled_pack:400"], got["lexical_top_k_files:400"]
     assert best.edit_coverage == 1.0 and best.support_coverage == 1.0 and best.uncertainty_honesty == 1.0
     assert lexical.edit_coverage == 1.0 and lexical.uncertainty_honesty == 0.0
     edit = FILES["app.py"][FILES["app.py"].index("def edit_me"):].rstrip("\n")
@@ -171,9 +171,9 @@ def test_experiment(spark, files, tmp_path):
     path = f"{tmp_path}/ledger"
     ledger.append(rows, path)
     found = E.summarise(ledger.read(spark, path))
-    assert {(r.task_id, r.budget): r.winners for r in found["winners"].collect()}["t1", 400] == ["context_ir"]
+    assert {(r.task_id, r.budget): r.winners for r in found["winners"].collect()}["t1", 400] == ["compiled_pack"]
     means = {r.provider_name: r.avg_aggregate_score for r in found["providers"].collect()}
-    assert len(means) == 4 and max(means, key=means.get) == "context_ir"
+    assert len(means) == 4 and max(means, key=means.get) == "compiled_pack"
     assert [tuple(r) for r in found["tier_expectations"].collect()] == [("unsupported_opaque", 8, 8)]
     assert [tuple(r) for r in found["runtime_expectations"].collect()] == [(True, 8, 8)]
     assert {(r.key, r.value): r.n for r in found["outcomes"].collect()} == {("lookup_outcome", "returned_value"): 8}
