@@ -43,6 +43,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents; a table of fewer files than there are cores is dealt to all of them.
+
+    Work on text is bound by the processor, and a single file of one row group is a single task. A table of
+    many files is read as it lies, without a shuffle.
+    """
+    docs = _t(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 # A: text
 
 _TOKENS = """list_transform(flatten(list_transform(list_filter(regexp_split_to_array(coalesce({0}, ''), '[^A-Za-z0-9]+'), lambda x: x != ''),
@@ -62,7 +73,7 @@ def q_token_estimate(spark, sf_dir):
 """)
 def q_terms(spark, sf_dir):
     """Terms and tokens of every document."""
-    bag = _t(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("bag"))
+    bag = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", X.tokens(F.col("text")).alias("bag"))
     return bag.select("doc_id", F.size(F.array_distinct("bag")).cast("long").alias("n_terms"), F.size("bag").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(F.array_distinct("bag")), " ")).alias("terms_md5"))
 
 
@@ -72,7 +83,7 @@ def q_terms(spark, sf_dir):
 """)
 def q_term_counts(spark, sf_dir):
     """How often each term occurs in each language."""
-    return _t(spark, sf_dir, "documents").select("lang", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return _docs(spark, sf_dir, "lang", "text").select("lang", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 def _wanted(spark) -> list[str]:
@@ -90,7 +101,9 @@ def _wanted(spark) -> list[str]:
 def q_lexical_topk(spark, sf_dir):
     """The eight best documents for a query, by the lexical file score; a top-k without a full sort."""
     wanted = F.array(*[F.lit(x) for x in _wanted(spark)])
-    docs = _t(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"), X.file_score(wanted, X.tokens(F.col("text")), X.tokens(F.col("source"))).alias("score"))
+    score = X.file_score(wanted, X.tokens(F.col("text")), X.tokens(F.col("source")))
+    # exploded, the score is computed once: a filter on a plain column would move below it with a copy
+    docs = _docs(spark, sf_dir, "doc_id", "text", "source").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"), F.explode(F.array(score)).alias("score"))
     return docs.where("score > 0").orderBy(F.round("score", 9).desc(), "tokens", "doc_id").limit(8).select("doc_id", "tokens", F.round("score", 6).alias("score"))
 
 
@@ -105,7 +118,7 @@ def q_phrase_match(spark, sf_dir):
     """
     words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    docs = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.lower("text").alias("body"))
     # the first word may begin, and the last may end, inside a document's word
     n = F.when(F.size(words(F.col("phrase"))) >= 6, 4).otherwise(1)
     keyed = items.select("item_id", "phrase", F.array_join(F.slice(words(F.col("phrase")), F.lit(2), n), " ").alias("key"))
@@ -126,10 +139,10 @@ def q_phrase_match(spark, sf_dir):
 """)
 def q_ngram_overlap(spark, sf_dir):
     """Items of whose bigrams a document has half or more: an equi-join on bigrams, summed up by pair."""
-    grams = lambda t, c: _t(spark, sf_dir, t).select(c, F.explode(X.ngrams(F.split("text", " "))).alias("g"))
-    items = grams("benchmark", "item_id")
+    grams = lambda df, c: df.select(c, F.explode(X.ngrams(F.split("text", " "))).alias("g"))
+    items = grams(_t(spark, sf_dir, "benchmark"), "item_id")
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = items.join(grams("documents", "doc_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    shared = items.join(grams(_docs(spark, sf_dir, "doc_id", "text"), "doc_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     return shared.join(sizes, "item_id").where("shared * 2 >= n").select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
 
 
