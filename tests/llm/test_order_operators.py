@@ -177,6 +177,12 @@ def test_line_dedup_is_brute_force(spark, odd, odd_clash, none):
     assert rows(line_dedup.dedup_lines(none)) == []
 
 
+def test_bands_find_pairs_at_the_threshold(spark):
+    assert 1 - (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS >= 0.996
+    shared = spark.createDataFrame([(1, k) for k in (10, 20, 30, 40)], "band long, key long")
+    assert set(rows(line_dedup._chains(shared))) == {(10, 20), (10, 30), (20, 30), (10, 40), (30, 40)}
+
+
 def test_shingles_are_every_window_of_code_points(spark):
     line = "naïve \U0001f600\U0001f601 café of stone"
     got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line"))).first()[0]
