@@ -183,6 +183,37 @@ def test_bands_find_pairs_at_the_threshold(spark):
     assert set(rows(line_dedup._chains(shared))) == {(10, 20), (10, 30), (20, 30), (10, 40), (30, 40)}
 
 
+def test_one_band_of_template_lines_is_brute_force(spark, monkeypatch):
+    import random
+
+    draw, plain = random.Random(4), []
+    frame = "the order of customer %s was sent from the store in %s on %s and is now on its way"
+    for i in range(300):
+        plain.append((frame % tuple("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.choice([2, 5, 12]))) for _ in range(3))))
+    plain += [draw.choice(plain[:300]) + draw.choice(["!", " x", " soon", ", again"]) for _ in range(60)]
+    plain = sorted(set(plain))
+    found = line_dedup.lines(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(plain)], SCHEMA))
+    # all lines meet in one band; blocks are small, so that it takes several
+    monkeypatch.setattr(line_dedup, "signatures", lambda f: f.select(F.lit(1).cast("long").alias("band"), "key"))
+    monkeypatch.setattr(line_dedup, "BLOCK", 50)
+    label = dict(rows(line_dedup.components(line_dedup.line_links(found))))
+    keys = {r.line: r.key for r in found.collect()}
+    sets, parent = {x: brute_line(x)[1] for x in plain}, {keys[x]: keys[x] for x in plain}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(plain, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = find(keys[a]), find(keys[b])
+            parent[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in parent}
+    assert 60 < len(set(want.values())) < len(plain)
+    assert {k: label.get(k, k) for k in parent} == want
+
+
 def test_shingles_are_every_window_of_code_points(spark):
     line = "naïve \U0001f600\U0001f601 café of stone"
     got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line"))).first()[0]
