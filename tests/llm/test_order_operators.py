@@ -214,6 +214,14 @@ def test_one_band_of_template_lines_is_brute_force(spark, monkeypatch):
     assert {k: label.get(k, k) for k in parent} == want
 
 
+def test_long_and_repeated_lines_meet(spark):
+    base = prose(77, 700)
+    groups = [["-" * n for n in (50, 100, 200, 700)], ["=" * 2000, "=" * 2001], ["buy now " * 100, "buy now " * 101, "buy now " * 12], [base, base + " and so on"], ["x" * 7]]
+    data = [(100 * g + i, line, "en", "a", 1) for g, lines in enumerate(groups) for i, line in enumerate(lines)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {r.doc_id for r in got if r.kept} == {100 * g for g in range(len(groups))}
+
+
 def test_shingles_are_every_window_of_code_points(spark):
     line = "naïve \U0001f600\U0001f601 café of stone"
     got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line"))).first()[0]
