@@ -46,6 +46,19 @@ def test_schedule_is_within_one_block(spark, weights):
         assert np.abs(np.cumsum(taken) - np.arange(size + 1) * a / size).max() < 1
 
 
+def test_mixing_follows_the_true_weights_for_many_periods(spark):
+    weights = {f"s{i}": 0.857 / 19 for i in range(19)} | {"hot": 1 / 7, "rare": 0.0001}
+    total, blocks = sum(weights.values()), 1000
+    docs = spark.range(blocks).select(F.lit("hot").alias("source"), F.col("id").alias("doc_id")).union(spark.range(300).select(F.lit("s3"), "id")).union(spark.range(1).select(F.lit("rare"), "id"))
+    got = mixing.mix(docs, mixing.given_weights(spark, weights), block=1, period=128).collect()
+    assert len({r.slot for r in got}) == len(got) == blocks + 301
+    for source in ("hot", "s3", "rare"):
+        w, at = weights[source] / total, sorted((r.block, r.slot) for r in got if r.source == source)
+        for i, (block, slot) in enumerate(at):
+            assert block == i + 1
+            assert math.floor(i / w - 1e-3) <= slot < math.ceil((i + 1) / w + 1e-3)
+
+
 def test_mixing_keeps_all_rows_in_their_windows(spark, odd, odd_clash, none):
     docs = spark.createDataFrame([(i, "", "en", "hot" if i % 2 else f"s{i % 6}", 0) for i in range(3000)], SCHEMA)
     got = mixing.mix(docs, block=8, period=64).collect()
