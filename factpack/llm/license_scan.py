@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (at line ends, and at ``.``, ``;``, ``!`` or ``?`` before white space);
-a sentence is normalised (lower case, words of letters, digits and dots, no comment marks, no
+A text is cut at ``!``, ``?``, ``.`` before white space and at lines without a word, and the rest into
+pieces at line ends and ``;``. A sentence is some consecutive pieces, as notices are wrapped anywhere:
+the first ones that are a known sentence, and those that follow it until one that begins another one
+(``WINDOW`` pieces at most). A sentence is normalised (lower case, words of letters, digits and dots, no comment marks, no
 copyright holder's name or year) and looked up among known licence sentences, each a pattern with an
 identifier. The identifiers of a text, in order, are matched against rules: a rule names a licence
 and the ordered identifiers that make it up, with whatever else between them. Rules are tried in
@@ -14,6 +16,7 @@ without any of ``HINTS`` has no licence sentence, and is not cut into sentences.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -87,34 +90,87 @@ RULES = (
 #: Sentences that alone say nothing about a licence.
 WEAK = ("COPYRIGHT", "ALLRIGHTS")
 
+#: Sentences that are one line; others are wrapped over pieces, so many at most.
+ONE_LINE, WINDOW = ("SPDX", "COPYRIGHT", "ALLRIGHTS"), 10
+
 _KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
-_END = re.compile(r"[\n;!?]+|\.(?=\s|$)")
+_END = re.compile(r"[!?]+|\.(?=\s|$)|\n(?:[^\w\n]*\n)+")
+_PIECE = re.compile(r"[^\n;]+")
 _MARK = re.compile(r"[^a-z0-9., ]+")
-_KEYS = re.compile("licen|copyright|permission|warrant|redistribut|public domain|spdx|as is|rights reserved|free software|in compliance|reproduce|endorse|mozilla|cc0")
+_KEYS = re.compile(r"licen|copyright|permission|warrant|redistribut|public\W+domain|spdx|as\W+is|rights\W+reserved|free\W+software|in\W+compliance|reproduce|endorse|mozilla|cc0")
 
 
 def normalise(sentence: str) -> str:
     return " ".join(_MARK.sub(" ", sentence.lower()).split()).replace(" ,", ",").strip(" .,")
 
 
+def normalise_piece(piece: str) -> str:
+    """A part of a sentence: a comma at its end belongs to it."""
+    return " ".join(_MARK.sub(" ", piece.lower()).split()).replace(" ,", ",").strip(" .")
+
+
 def version(match: re.Match) -> str:
     """The last group of the match that is a version, or its first group for SPDX."""
     found = [g.strip(" .") for g in match.groups() if g and re.fullmatch(r"[0-9]+(\.[0-9]+)*", g.strip(" ."))]
     return found[-1] if found else ""
 
 
+def known(said: str, pieces_: int) -> tuple[int, re.Match] | None:
+    """The first known sentence that some pieces make up, by its place and its match."""
+    for k, (name, pattern) in enumerate(_KNOWN):
+        if (pieces_ == 1 or name not in ONE_LINE) and (m := pattern.fullmatch(said)):
+            return k, m
+    return None
+
+
+def _of_part(said: list[str]) -> list[tuple[int, int, int, re.Match]]:
+    """(first piece, last piece, place of the known sentence, match) of the sentences of normalised pieces."""
+    def joined(i, j):
+        return known(normalise(" ".join(said[i : j + 1])), j - i + 1)
+
+    @functools.cache
+    def first(i):
+        """The sentence that begins at piece i or the soonest after it, by its end; a general one gives way to a longer special one."""
+        general = None
+        if not _KEYS.search(" ".join(said[i : i + WINDOW])):
+            return None
+        for j in range(i, min(i + WINDOW, len(said))):
+            if found := joined(i, j):
+                at = i
+                while at < j and (closer := joined(at + 1, j)) and closer[0] == found[0]:
+                    at, found = at + 1, closer
+                if found[0] < len(_KNOWN) - 1:
+                    if general and at > general[1]:
+                        break
+                    return at, j, *found
+                general = general or (at, j, *found)
+        return general
+
+    out, i = [], 0
+    while i < len(said):
+        if not (sentence := first(i)):
+            i += 1
+            continue
+        at, j, k, m = sentence
+        if _KNOWN[k][0] not in ONE_LINE:
+            while j + 1 < min(at + WINDOW, len(said)) and not ((after := first(j + 1)) and after[0] == j + 1) and (more := joined(at, j + 1)) and more[0] == k:
+                j, m = j + 1, more[1]
+        out.append((at, j, k, m))
+        i = j + 1
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, identifier, version) of the licence sentences of a text, in order."""
     found, start = [], 0
     ends = [(m.start(), m.end()) for m in _END.finditer(text)] + [(len(text), len(text))]
     for end, after in ends:
-        sentence = text[start:end]
-        if _KEYS.search(sentence.lower()):
-            said = normalise(sentence)
-            for name, pattern in _KNOWN:
-                if m := pattern.fullmatch(said):
-                    found.append((start, end, name, m[1].upper().replace(" ", "-") if name == "SPDX" else version(m)))
-                    break
+        if _KEYS.search(text[start:end].lower()):
+            spans = [(m.start(), m.end()) for m in _PIECE.finditer(text, start, end)]
+            said = [(span, x) for span in spans if (x := normalise_piece(text[span[0] : span[1]]))]
+            for i, j, k, m in _of_part([x for _, x in said]):
+                name = _KNOWN[k][0]
+                found.append((said[i][0][0], said[j][0][1], name, m[1].upper().replace(" ", "-") if name == "SPDX" else version(m)))
         start = after
     return found
 

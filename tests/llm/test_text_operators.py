@@ -102,6 +102,79 @@ def test_licence_rules(spark, odd, odd_clash, none):
     assert L.scan_licences(odd_clash).count() == len(odd_rows()) and rows(L.scan_licences(none)) == []
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.
+"""
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+def test_wrapped_notices_are_whole():
+    whole = {"MIT": (MIT, ["MIT_GRANT", "MIT_NOTICE", "MIT_ASIS"]), "BSD-3-Clause": (BSD, ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME", "BSD_ASIS"]), "Apache-2.0": (APACHE, ["APACHE_UNDER", "APACHE_COMPLY", "APACHE_COPY", "APACHE_ASIS"])}
+    whole |= {f"GPL{x}": (GPL % x, ["GPL_FREE", "GPL_NOWARRANTY", "GPL_RECEIVED"]) for x in ":;"}
+    for name, (text, wanted) in whole.items():
+        for mark in ("", "# ", " * ", "// "):
+            found = L.sentences("".join(f"{mark}{x}\n" for x in text.splitlines()))
+            assert [x[2] for x in found if x[2] not in L.WEAK] == wanted
+            assert L.licences(found) == [name.rstrip(":;")]
+    two = L.sentences("Code is released under the MIT License\nDocs are licensed under CC BY 4.0\nand more")
+    assert [x[2] for x in two] == ["MIT_UNDER", "CC_BY"]
+    assert L.licences(L.sentences("Licensed under the\nApache License, Version\n2.0")) == ["Apache-2.0"]
+
+
 def brute_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = (text or "").split("\n")
