@@ -11,7 +11,7 @@ their order, and one that matches uses its identifiers up, so that a short rule
 part of a longer licence. A text with licence sentences but no whole rule has the licence ``UNMATCHED``.
 
 Results: a null text has no sentence; rows with equal ids each get a row. Whole texts are read; a text
-without any of ``HINTS`` has no licence sentence, and is not cut into sentences.
+without any of ``_KEYS`` has no licence sentence (each has one), and is not cut into sentences.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from ._common import documents, null_text, pieces
 
-HINTS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx", "as is")
-
 #: Known licence sentences, normalised, as patterns with their identifiers. ``{0}`` is a version.
 SENTENCES = (
     ("SPDX", r"spdx license identifier (.+)"),
@@ -91,7 +89,7 @@ RULES = (
 WEAK = ("COPYRIGHT", "ALLRIGHTS")
 
 #: Sentences that are one line; others are wrapped over pieces, so many at most.
-ONE_LINE, WINDOW = ("SPDX", "COPYRIGHT", "ALLRIGHTS"), 10
+ONE_LINE, WINDOW = ("SPDX", "COPYRIGHT"), 10
 
 _KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
 _END = re.compile(r"[!?]+|\.(?=\s|$)|\n(?:[^\w\n]*\n)+")
@@ -208,8 +206,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 names, spans = [], []
                 for text in part.column("text").to_pylist():
-                    low = text.lower()
-                    found = sentences(text) if any(x in low for x in HINTS) else []
+                    found = sentences(text) if _KEYS.search(text.lower()) else []
                     names.append(licences(found))
                     spans.append([{"start": a, "end": b, "id": i} for a, b, i, _ in found])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.list_(pa.string())), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, pa.list_(_SENTENCE))], names=["doc_id", "licences", "n_sentences", "sentences"])

@@ -162,6 +162,28 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 """
 
 
+ALONE = {
+    "SPDX": "SPDX-License-Identifier: MIT", "COPYRIGHT": "Copyright (c) 2020 Some One", "ALLRIGHTS": "All rights\nreserved.",
+    "APACHE_UNDER": "Licensed under the Apache License, Version 2.0", "APACHE_COMPLY": "you may not use this file except in compliance with the License", "APACHE_COPY": "You may obtain a copy of the License at",
+    "APACHE_ASIS": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+    "MIT_UNDER": "Released under the MIT License", "MIT_GRANT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MIT_NOTICE": "The above copyright notice and this permission notice shall be included in all copies",
+    "MIT_ASIS": "The software is provided as is, without warranty of any kind", "BSD_UNDER": "Released under the 3-clause BSD license", "BSD_GRANT": "Redistribution and use in source and binary forms are permitted",
+    "BSD_SOURCE": "Redistributions of source code must retain the above copyright notice", "BSD_BINARY": "Redistributions in binary form must reproduce the above copyright notice", "BSD_NAME": "Neither the name of X may be used to endorse or promote products",
+    "BSD_ASIS": "This software is provided by the authors as is and any express or implied warranties", "LGPL_UNDER": "Licensed under the GNU Lesser General Public License", "AGPL_UNDER": "Licensed under the GNU Affero General Public License",
+    "GPL_UNDER": "Licensed under the GNU General Public License, version 3", "GPL_FREE": "It is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "GPL_NOWARRANTY": "It is distributed in the hope that it will be useful, but without any warranty",
+    "GPL_RECEIVED": "You should have received a copy of the GNU General Public License", "MPL_UNDER": "subject to the terms of the Mozilla Public License, version 2.0",
+    "CC_BY_NC_ND": "Licensed under CC BY-NC-ND 4.0", "CC_BY_NC_SA": "Licensed under CC BY-NC-SA 4.0", "CC_BY_NC": "Licensed under CC BY-NC 4.0", "CC_BY_SA": "Licensed under CC BY-SA 4.0", "CC_BY_ND": "Licensed under CC BY-ND 4.0", "CC_BY": "Licensed under CC BY 4.0",
+    "CC0": "All images are CC0.", "OTHER_LICENSE": "Some licence agreement",
+}
+
+
+def test_every_known_sentence_alone_is_found(spark):
+    assert list(ALONE) == [name for name, _ in L.SENTENCES]
+    texts = {i: x for i, x in enumerate([*ALONE.values(), "dedicated to the public\ndomain"])}
+    got = {r.doc_id: [x.id for x in r.sentences] for r in L.scan_licences(spark.createDataFrame([(i, x, "en", "a", 1) for i, x in texts.items()], SCHEMA)).collect()}
+    assert got == {i: [name] for i, name in enumerate([*ALONE, "CC0"])}
+
+
 def test_wrapped_notices_are_whole():
     whole = {"MIT": (MIT, ["MIT_GRANT", "MIT_NOTICE", "MIT_ASIS"]), "BSD-3-Clause": (BSD, ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME", "BSD_ASIS"]), "Apache-2.0": (APACHE, ["APACHE_UNDER", "APACHE_COMPLY", "APACHE_COPY", "APACHE_ASIS"])}
     whole |= {f"GPL{x}": (GPL % x, ["GPL_FREE", "GPL_NOWARRANTY", "GPL_RECEIVED"]) for x in ":;"}
