@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 import pyarrow as pa
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 #: A pass over texts works on so many bytes at once (a longer document is worked on alone).
 CHUNK_BYTES = 2 << 20
 
+#: Rows that a window of ``ranked`` holds, about.
+RANK_ROWS = 4096
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -50,11 +52,23 @@ def _delete_all() -> None:
             _delete(spark, path)
 
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: a replicated cut of the lineage."""
+    """Write df as a table in the shared folder and read it again: a replicated cut of the lineage.
+
+    The shuffle files of the write go when it ends, as nothing reads them after.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factpack-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._factpack_path = path
@@ -69,12 +83,6 @@ def drop(*tables: DataFrame) -> None:
         _scratch.remove((df.sparkSession, path))
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def null_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
 
@@ -93,15 +101,18 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         yield batch.slice(start)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], buckets: int = 256, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], largest: int, name: str = "rank") -> DataFrame:
     """df with the column ``name`` (long, from 0): the place of a row among the rows with its keys.
 
     Rows are dealt by a hash of the ``order`` columns into buckets, ranked in their bucket, and
     moved on by the sizes of the buckets before: no window holds all rows of a key. Places follow the
-    bucket, then ``order``; rows that are alike in all of ``order`` are interchangeable.
+    bucket, then ``order``; rows that are alike in all of ``order`` are interchangeable. ``largest`` is
+    the number of rows of the largest key, of which the number of buckets follows. df has no column
+    whose name begins with ``_``.
     """
     from pyspark.sql import Window
 
+    buckets = 1 + largest // RANK_ROWS
     at = [*keys, "_bucket"]
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(*at).agg(F.count("*").alias("_n"))

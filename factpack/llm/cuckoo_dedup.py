@@ -11,13 +11,15 @@ digest is the SHA-256 of that in UTF-8. The index is a table with one row for ea
 A digest that the filter does not hold is new; one that it seems to hold is verified against the
 bucket's content, so false positives cost a look-up and never a document. An insertion that finds no
 place after ``KICKS`` moves makes the filter grow: twice the slots, filled anew from the stored keys.
-Deletion lowers a digest's count; at zero its key and its fingerprint go. ``insert``, ``delete`` and
+An index whose buckets hold ``BUCKET_ROWS`` digests twice over, on average, is dealt to more buckets.
+Beside the buckets stand the live rows, a plain table. Deletion takes rows off it and counts what is left
+of their digests: a digest gets its best live row anew, and at none its key and its fingerprint go. ``insert``, ``delete`` and
 ``probe`` take tables of any size: rows are summed up by digest within a task first, so a group of
 copies reaches its bucket as one row from each task, and buckets are worked on apart.
 
 Results: nulls count as empty texts, and empty texts are equal to each other. A null id comes after
-every other id; rows that repeat an id and a text are the same document and get the same verdict. An
-empty table gives an empty table.
+every other id; rows that repeat an id and a text are the same document and get the same verdict. Very
+long texts are hashed whole. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ NO_ID = (1 << 63) - 1
 BUCKET_ROWS = 50_000
 
 _DIGESTS = "doc_id long, digest binary, n_chars long"
-_STATE = "bucket int, slots binary, digests binary, counts binary, chars binary, ids binary"
+_STATE = "bucket int, size long, slots binary, digests binary, counts binary, chars binary, ids binary"
 
 
 class CuckooFilter:
@@ -109,10 +111,12 @@ class Bucket:
         if not self.filter.add(digest):
             self.filter = self.filter.grown(self.content)
 
-    def delete(self, digest: bytes, count: int) -> None:
-        if digest in self.filter and (held := self.content.get(digest)):
-            held[0] -= count
-            if held[0] <= 0:
+    def put(self, digest: bytes, count: int, chars: int, id_: int) -> None:
+        """What is left of a live digest after a deletion; with no row it goes."""
+        if digest in self.filter and digest in self.content:
+            if count:
+                self.content[digest] = [count, chars, id_]
+            else:
                 del self.content[digest]
                 self.filter.remove(digest)
 
@@ -122,7 +126,7 @@ class Bucket:
     def row(self, bucket: int) -> dict:
         numbers = np.array(list(self.content.values()), np.int64).reshape(-1, 3)
         rest = {k: [np.ascontiguousarray(numbers[:, i]).tobytes()] for i, k in enumerate(("counts", "chars", "ids"))}
-        return {"bucket": [bucket], "slots": [self.filter.slots.tobytes()], "digests": [b"".join(self.content)]} | rest
+        return {"bucket": [bucket], "size": [len(self.content)], "slots": [self.filter.slots.tobytes()], "digests": [b"".join(self.content)]} | rest
 
 
 def _arrow(columns: dict, schema: str) -> pa.Table:
@@ -143,12 +147,17 @@ def digests(docs: DataFrame) -> DataFrame:
     return null_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, _DIGESTS)
 
 
+def _bucket(digest: str, buckets: int):
+    """The bucket of a digest: its first seven bytes, most significant first."""
+    return F.pmod(F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
 def _summed(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows summed up by digest within a task: (bucket, digest, n, n_chars, doc_id)."""
 
     def out(held: dict) -> pa.RecordBatch:
         keys, values = list(held), list(held.values())
-        columns = {"bucket": [int.from_bytes(k[:8], "little") % buckets for k in keys], "digest": keys}
+        columns = {"bucket": [int.from_bytes(k[:7], "big") % buckets for k in keys], "digest": keys}
         columns |= {c: [v[i] for v in values] for i, c in enumerate(("n", "n_chars", "doc_id"))}
         return _arrow(columns, "bucket int, digest binary, n long, n_chars long, doc_id long").to_batches()[0]
 
@@ -174,36 +183,59 @@ def _summed(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 class CuckooIndex:
-    """A distributed index; every method that changes it returns another index."""
+    """A distributed index; every method that changes it returns another index.
 
-    def __init__(self, state: DataFrame, buckets: int):
-        self.state, self.buckets = state, buckets
+    ``state`` has a row for each bucket, ``rows`` the live rows (doc_id, digest, n_chars).
+    """
+
+    def __init__(self, state: DataFrame, rows: DataFrame, buckets: int):
+        self.state, self.rows, self.buckets = state, rows, buckets
 
     @classmethod
     def empty(cls, spark, rows: int = 0) -> CuckooIndex:
-        """An index meant for about ``rows`` digests; more make its buckets larger, not wrong."""
-        return cls(spark.createDataFrame([], _STATE), max(16, rows // BUCKET_ROWS + 1))
+        """An index meant for about ``rows`` digests; with more it is dealt to more buckets."""
+        return cls(spark.createDataFrame([], _STATE), spark.createDataFrame([], _DIGESTS), max(16, rows // BUCKET_ROWS + 1))
 
-    def _changed(self, rows: DataFrame, change: str) -> CuckooIndex:
+    def _changed(self, summed: DataFrame, rows: DataFrame, change: str) -> CuckooIndex:
         def run(state: pa.Table, added: pa.Table) -> pa.Table:
             rows_ = state.to_pylist()
             bucket = Bucket(rows_[0] if rows_ else None)
             x = added.to_pydict()
+            act = bucket.insert if change == "insert" else bucket.put
             for digest, n, chars, id_ in zip(x["digest"], x["n"], x["n_chars"], x["doc_id"], strict=True):
-                bucket.insert(digest, n, chars, id_) if change == "insert" else bucket.delete(digest, n)
-            number = (rows_[0]["bucket"] if rows_ else x["bucket"][0]) if rows_ or x["bucket"] else None
-            return _arrow(bucket.row(number), _STATE)
+                act(digest, n, chars, id_)
+            return _arrow(bucket.row(rows_[0]["bucket"] if rows_ else x["bucket"][0]), _STATE)
+
+        new = self.state.groupBy("bucket").cogroup(summed.groupBy("bucket")).applyInArrow(run, _STATE)
+        return CuckooIndex(table(new), rows, self.buckets)._resized()
 
-        new = self.state.groupBy("bucket").cogroup(_summed(rows, self.buckets).groupBy("bucket")).applyInArrow(run, _STATE)
-        return CuckooIndex(table(new), self.buckets)
+    def _resized(self) -> CuckooIndex:
+        """The same index in more buckets, where these hold too much."""
+        held = self.state.agg(F.sum("size")).first()[0] or 0
+        if held <= 2 * BUCKET_ROWS * self.buckets:
+            return self
+        buckets = held // BUCKET_ROWS + 1
+        live = self.content().select(_bucket("digest", buckets).alias("bucket"), "digest", F.col("group_size").alias("n"), F.col("keep_chars").alias("n_chars"), F.col("keep_id").alias("doc_id"))
+        return CuckooIndex(self.state.limit(0), self.rows, buckets)._changed(live, self.rows, "insert")
 
     def insert(self, rows: DataFrame) -> CuckooIndex:
-        """Add the rows (doc_id, digest, n_chars)."""
-        return self._changed(rows, "insert")
+        """Add the rows (doc_id, digest, n_chars), a table that stays: it is read again by later deletions."""
+        return self._changed(_summed(rows, self.buckets), self.rows.unionByName(rows.select(*self.rows.columns)), "insert")
 
     def delete(self, rows: DataFrame) -> CuckooIndex:
-        """Take the rows off again; the best row of a digest stays what it was while any is live."""
-        return self._changed(rows, "delete")
+        """Take rows off; of repeated rows as many go as are given, and rows that are not there are no matter."""
+        keys = ["digest", "doc_id", "n_chars"]
+        gone = rows.groupBy(*keys).agg(F.count("*").alias("gone"))
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+        held = self.rows.groupBy(*keys).agg(F.count("*").alias("n")).alias("l").join(gone.alias("g"), same, "left")
+        live = table(held.select(*[f"l.{k}" for k in keys], (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")).where("n > 0"))
+        best = F.min(F.struct(-F.col("n_chars"), F.coalesce("doc_id", F.lit(NO_ID))))
+        asked = rows.select("digest").distinct()
+        left = live.join(asked, "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("n"), best.alias("best"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        left = asked.join(left, "digest", "left").select(_bucket("digest", self.buckets).alias("bucket"), "digest", zero(F.col("n")).alias("n"), zero(-F.col("best.col1")).alias("n_chars"), zero(F.col("best.col2")).alias("doc_id"))
+        each = live.select("doc_id", "digest", "n_chars", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+        return self._changed(left, each, "put")
 
     def content(self) -> DataFrame:
         """digest, group_size, keep_chars and keep_id of every live digest, as the filter finds it."""

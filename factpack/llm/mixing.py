@@ -16,8 +16,10 @@ slots empty, and the others keep their rates to each other. A heavy source with
 many periods: their number is that of the last deadline.
 
 Only DataFrame functions are used. A document's rank in its source comes from ``_common.ranked``, which
-never gathers a source in one task; slots reach the documents by a join on source and block. Results: a null source is a source of its own; null texts and repeated rows are documents like
-others; sources without a target weight raise an error; an empty table gives no rows.
+never gathers a source in one task; slots reach the documents by a join on source and block.
+
+Results: a null source is a source of its own; null and very long texts and repeated rows are documents
+like others (a text is only hashed); sources without a target weight raise an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,44 +44,6 @@ def given_weights(spark, weights: dict[str | None, float]) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, a, slots): the slots of a source's blocks within one period of whole slots, in order.
-
-    ``mix`` does not use it: it is a plan to look at, for weights that are whole slots of a period.
-    """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("heavy"), F.coalesce("source", F.lit("")).alias("name"), "source")))
-    one = weights.where("weight > 0").agg(rows.alias("rows"), F.sum("weight").alias("total")).where("size(rows) > 0")
-    # whole slots: one for each, the rest by share, what is left over by largest remainder
-    size = F.greatest(F.lit(period), F.size("rows") * 4).alias("size")
-    one = one.select("rows", "total", size)
-    exact = F.transform("rows", lambda x: -x["heavy"] / F.col("total") * (F.col("size") - F.size("rows")))
-    one = one.withColumn("exact", exact)
-    floors = F.transform("exact", lambda x: F.floor(x).cast("int") + 1)
-    one = one.withColumn("floors", floors)
-    order = F.array_sort(F.transform("exact", lambda x, i: F.struct((F.floor(x) - x).alias("r"), i.alias("i"))))
-    more = F.col("size") - F.aggregate("floors", F.lit(0), lambda s, x: s + x)
-    one = one.withColumn("lucky", F.transform(F.slice(order, F.lit(1), more), lambda x: x["i"]))
-    one = one.withColumn("a", F.transform("floors", lambda x, i: x + F.when(F.array_contains("lucky", i), 1).otherwise(0)))
-
-    def take(state, slot):
-        # of the released blocks, (deadline, source): array_min takes the earliest; sources are sorted by weight, then name
-        def block(a, i):
-            done = F.element_at(state["done"], i + 1)
-            released = F.floor(done * F.col("size") / a) <= slot
-            deadline = F.ceil((done + 1) * F.col("size") / a)
-            return F.when(released & (done < a), F.struct(deadline.cast("long").alias("d"), i.alias("i")))
-
-        best = F.array_min(F.transform("a", block))
-        done = F.transform(state["done"], lambda x, i: F.when(i == best["i"], x + 1).otherwise(x))
-        return F.struct(done.alias("done"), F.concat(state["order"], F.array(best["i"])).alias("order"))
-
-    start = F.struct(F.array_repeat(F.lit(0), F.size("rows")).alias("done"), F.array().cast("array<int>").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0), F.col("size") - 1), start, take, lambda s: s["order"])
-    one = one.withColumn("order", order).select("rows", "a", "size", F.posexplode("order").alias("slot", "i"))
-    slots = F.array_sort(F.collect_list("slot")).cast("array<int>").alias("slots")
-    return one.select(F.element_at("rows", F.col("i") + 1)["source"].alias("source"), "slot", "size").groupBy("source", "size").agg(slots).select("source", "size", "slots")
-
-
 def fractions(weights: DataFrame) -> DataFrame:
     """One row (or none): sources, heaviest first, and w, their weights in units that add up to UNIT."""
     rows = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("heavy"), F.coalesce("source", F.lit("")).alias("name"), "source")))
@@ -152,7 +116,7 @@ def slots(weights: DataFrame, last: DataFrame, period: int = PERIOD) -> DataFram
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """docs with block (from 1), release, deadline and slot (the mixed order), and place in the block.
 
-    Columns of these names in docs are replaced.
+    Columns of these names in docs are replaced; a row travels as one struct, so any others can be there.
     """
     docs = docs.drop("block", "release", "deadline", "slot", "place")
     counts = table(docs.groupBy("source").agg(F.count("*").alias("n")))
@@ -160,13 +124,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     last = counts.select("source", F.ceil(F.col("n") / block).alias("blocks"))
     plan = table(slots(given, last, period).join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("block < blocks").drop("_s", "blocks"))
     columns = [c for c in ("doc_id", "text") if c in docs.columns]
-    placed = ranked(docs.withColumn("_key", F.xxhash64(*columns)), ["source"], ["_key", *[c for c in columns if c == "doc_id"]], name="_rank")
-    placed = placed.withColumn("_block", F.floor(F.col("_rank") / block))
-    plan = plan.withColumnRenamed("source", "_source")
-    out = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("block")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*columns).alias("key"), *[F.col(c).alias("id") for c in columns if c == "doc_id"], F.col("source").alias("of"))
+    placed = ranked(rows, ["of"], [c for c in ("key", "id") if c in rows.columns], counts.agg(F.max("n")).first()[0] or 0)
+    placed = placed.select("row", "of", F.floor(F.col("rank") / block).alias("at"), (F.col("rank") % block).alias("place"))
+    out = placed.join(plan, F.col("of").eqNullSafe(F.col("source")) & (F.col("at") == F.col("block")), "left")
     slot = F.when(F.col("slot").isNull(), F.raise_error(F.lit("a source has no target weight"))).otherwise(F.col("slot"))
-    out = out.withColumns({"block": F.col("_block") + 1, "slot": slot.cast("long"), "place": F.col("_rank") % block})
-    return out.select(*docs.columns, "block", "release", "deadline", "slot", "place")
+    return out.select("row.*", (F.col("at") + 1).alias("block"), "release", "deadline", slot.cast("long").alias("slot"), "place")
 
 
 def op2_pfair_mixing(spark, sf_dir: str) -> DataFrame:

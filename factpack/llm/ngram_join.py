@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import documents, drop, free, null_text, pieces, table
+from ._common import documents, drop, null_text, pieces, table
 from ._graph import components
 
 WORDS, PERCENT = 5, 80
@@ -219,7 +219,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
     side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
     linked = table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
     drop(pairs, texts)
-    free(docs.sparkSession)
     return linked
 
 
@@ -283,7 +282,6 @@ def links(docs: DataFrame, described: DataFrame, words: int = WORDS, percent: in
     held = described.where("digest is not null and doc_id is not null")
     sets = table(held.groupBy("digest", "key", "n_shingles", "sketch").agg(F.min("doc_id").alias("rep")))
     shared = table(shared_signatures(sign(docs, words, percent)))
-    free(docs.sparkSession)
     first = shared.groupBy("sig").agg(F.min("key").alias("a"))
     first = shared.where("prev is not null").join(first, "sig").select("a", F.col("key").alias("b"))
     chained = shared.where("prev is not null").select(F.col("prev").alias("a"), F.col("key").alias("b"))

@@ -14,18 +14,22 @@ fits them by full-batch gradient steps (Adam) with an L2 penalty; scoring is one
 Ratings from ``labels(doc_id, quality, toxic)``: toxic 0, else poor quality 1, else 2; a document is
 kept when P(grade >= 2) is at least one half. Null ratings are not used; without any rating every
 document is kept with the top grade. A null text has no features and is scored by the thresholds
-alone. Rows that repeat an id each get a row; an id with several labels trains once for each.
+alone; the row keeps its null. A text of any length is read whole. Rows that repeat an id each get a row;
+an id with several labels trains once for each. An empty ``documents`` gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import _text as T
-from ._common import documents, null_text, pieces
+from ._common import documents, drop, null_text, pieces, table
 
 BITS, LEAST, SCREEN, MAX_RATED, GRADES = 18, 5, 5.0, 20_000, 3
 STEPS, RATE, PENALTY = 150, 0.05, 2e-4
@@ -119,37 +123,57 @@ class OrdinalModel:
         return cls(weights, x[n_words] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_words + 1 :]))]))
 
 
-def rated(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of at most ``most`` rated documents."""
+def rated(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and grades of at most ``most`` rated documents, of the places that the screen leaves.
+
+    Spark counts each place by grade, and screens places by the counts; only those left are gathered.
+    """
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 places, bounds = features(part.column("text"))
-                raw = [places[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), pa.array(raw, pa.binary())], names=["doc_id", "grade", "places"])
+                found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(places))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), found], names=["doc_id", "grade", "places"])
 
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).cast("int")
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null")
     some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)  # MAX_RATED rows at most: may be broadcast
     texts = null_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(F.broadcast(some), "doc_id")
-    rows = sorted(texts.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, places binary").collect())
-    held = [np.frombuffer(bytes(r["places"]), np.int32) for r in rows]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-    return (np.concatenate(held) if held else np.zeros(0, np.int32)), bounds, np.array([r["grade"] for r in rows], np.int64)
+    rows = table(texts.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, places array<int>"))
+    above = [F.sum((F.col("grade") >= j).cast("double")).alias(f"n{j}") for j in range(1, grades)]
+    total = rows.agg(F.count("*").alias("n"), *above).first()
+    counts = rows.select("grade", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").cast("double").alias("n"), *above)
+    apart = F.lit(0.0)
+    for j in range(1, grades):
+        share = (total[f"n{j}"] or 0.0) / max(total["n"], 1)
+        error = F.sqrt(F.greatest(F.col("n") * (1 - F.col("n") / max(total["n"], 1)) * (share * (1 - share)), F.lit(1e-12)))
+        apart = F.greatest(apart, F.abs(F.col(f"n{j}") - F.col("n") * share) / error)
+    used = table(counts.where((F.col("n") >= LEAST) & (apart >= SCREEN)).select("place"))  # 2 ** BITS places at most: may be broadcast
+    kept = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "grade", F.explode_outer("places").alias("place"))
+    kept = kept.join(F.broadcast(used.withColumn("used", F.lit(True))), "place", "left").groupBy("row", "doc_id", "grade").agg(F.array_sort(F.collect_list(F.when(F.col("used"), F.col("place")))).alias("places"))
+    held = sorted((r["doc_id"], r["grade"], r["places"]) for r in kept.collect())
+    drop(rows, used)
+    places = np.array(list(itertools.chain.from_iterable(x for _, _, x in held)), np.int32)
+    return places, np.concatenate([[0], np.cumsum([len(x) for _, _, x in held])]).astype(np.int64), np.array([g for _, g, _ in held], np.int64)
 
 
 def classify(docs: DataFrame, labels: DataFrame, grade: int = 2, least: float = 0.5, rated_docs: DataFrame | None = None) -> DataFrame:
     """docs with expected_grade, tail_probability (of ``grade`` or better) and kept.
 
-    Columns of these names in docs are replaced. The ratings' texts come from ``rated_docs`` (docs).
+    Columns of these names in docs are replaced, all others stay as they are, whatever their names. The
+    ratings' texts come from ``rated_docs`` (docs).
     """
-    docs = null_text(docs.drop("expected_grade", "tail_probability", "kept"))
+    docs = docs.drop("expected_grade", "tail_probability", "kept")
     places, bounds, grades = rated(docs if rated_docs is None else rated_docs, labels)
     model = OrdinalModel.fit(places, bounds, grades) if len(grades) else OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -50.0))
-    weights, thresholds = model.weights, model.thresholds
+    # only weights other than 0 go to the tasks
+    at = np.flatnonzero(model.weights)
+    values, thresholds = model.weights[at], model.thresholds
 
     def run(batches):
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[at] = values
         model = OrdinalModel(weights, thresholds)
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -157,8 +181,8 @@ def classify(docs: DataFrame, labels: DataFrame, grade: int = 2, least: float =
                 columns = [*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, grade - 1]), pa.array(tails[:, grade - 1] >= least)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "expected_grade", "tail_probability", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double, kept boolean")
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in (("expected_grade", DoubleType()), ("tail_probability", DoubleType()), ("kept", BooleanType())))])
+    return docs.mapInArrow(run, schema)
 
 
 def op7_ordinal_quality(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ list has a few entries for each length. A piece finds its bin by its rank among
 come from ``_common.ranked``, which never gathers a length in one task.
 
 Results: a null text is empty: it has the id 2 alone. Rows that repeat an id are packed each for
-itself. An empty table gives no pieces.
+itself. An empty table gives no pieces. A text of any length is tokenised whole, alone if it is long. Where
+a text holds the string of one of the vocabulary's added tokens, that string is the token, as in the
+tokenizer's plain call. Other columns of the table are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -45,26 +47,27 @@ def _byte_letters() -> dict[str, int]:
 
 
 def encoders(path: str):
-    """The vocabulary's tokenizer, and a faster one of equal results on plain characters."""
+    """The vocabulary's tokenizer, a faster one of equal results on plain characters, and the added tokens' strings."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         letters = _byte_letters()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in word): id_ for word, id_ in spec["model"]["vocab"].items() if word not in special}
-        _encoders[path] = slow, tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = slow, tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sorted(special)
     return _encoders[path]
 
 
 def encode(texts: list[str], path: str) -> list[list[int]]:
-    slow, fast = encoders(path)
-    return [fast.encode_ordinary(x) if _PLAIN.fullmatch(x) else slow.encode(x, add_special_tokens=False).ids for x in texts]
+    """The ids of the texts; only plain texts without an added token take the faster way."""
+    slow, fast, special = encoders(path)
+    plain = lambda x: _PLAIN.fullmatch(x) and not any(token in x for token in special)
+    return [fast.encode_ordinary(x) if plain(x) else slow.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -155,6 +158,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     cut_ = table(tokenise(docs, path, capacity))
+    # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
     for row in cut_.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
@@ -171,7 +175,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 sequence[at], offset[at] = bins[k] + rank[at] - ranks[k], offsets[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    placed = ranked(cut_, ["length"], ["doc_id", "piece", "start", "ids_crc32"], buckets=64)
+    placed = ranked(cut_, ["length"], ["doc_id", "piece", "start", "ids_crc32"], int(counts.max(initial=0)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return placed.mapInArrow(run, schema)
 

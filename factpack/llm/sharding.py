@@ -8,8 +8,8 @@ key's hash: one broadcast look-up in M slots, whatever the number of rows (M is
 bound of what is broadcast), no shuffle.
 
 Everything is DataFrame functions: the table is an ``aggregate`` fold over M turns in one row.
-Results: a null key is hashed like a value of its own; equal keys share a shard; an empty table gives
-no rows; other columns are kept and can have any names but those that are added.
+Results: a null key is hashed like a value of its own; equal keys share a shard; texts, however long,
+pass through; an empty table gives no rows; other columns are kept and can have any names but those that are added.
 """
 
 from __future__ import annotations
@@ -55,12 +55,14 @@ WINDOW = 24
 
 
 def shard(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with ``slot`` and ``shard`` of the column ``key``; columns of these names in df are replaced."""
-    df = df.drop(*{"slot", "shard"} - {key})
+    """df with ``slot`` and ``shard`` of the column ``key``; columns of these names in df are replaced.
+
+    A row travels as one struct, so that df's columns can have any names.
+    """
     # exactly ``slots`` rows: a parameter bounds what is broadcast
-    found = F.broadcast(lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard")))
-    placed = df.withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    return placed.join(found, F.col("slot") == F.col("_slot")).withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    found = F.broadcast(lookup_table(df.sparkSession, shards, slots))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns if c not in ("slot", "shard")]).alias("row"), F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int").alias("at"))
+    return rows.join(found, F.col("at") == F.col("slot")).select("row.*", "slot", "shard")
 
 
 def op8_permutation_sharding(spark, sf_dir: str) -> DataFrame:

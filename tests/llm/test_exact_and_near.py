@@ -12,6 +12,7 @@ from factpack.llm import _text as T
 from factpack.llm import cuckoo_dedup as C
 from factpack.llm import ngram_join as J
 from factpack.llm._graph import components
+from pyspark.sql import functions as F
 
 from .conftest import SCHEMA, prose, rows
 
@@ -49,7 +50,7 @@ def test_filter_grows_and_deletes():
     assert len(bucket.filter.slots) > C.START and all(k in bucket.filter for k in keys)
     again = C.Bucket({k: v[0] for k, v in bucket.row(3).items()})
     for k in keys[:4000]:
-        again.delete(k, 1)
+        again.put(k, 0, 0, 0)
     assert all(again.probe(k) is None for k in keys[:4000])
     assert all(again.probe(k) == [1, 5, 1] for k in keys[4000:])
     assert np.count_nonzero(again.filter.slots) == 1000
@@ -66,6 +67,26 @@ def test_index_inserts_and_deletes_tables(spark):
     assert gone.count() == 50
 
 
+def test_deletion_finds_the_best_live_row(spark, monkeypatch):
+    texts = [(1, "a  b"), (2, "ab"), (3, "a b"), (3, "a b"), (None, "a    b"), (9, "else")]
+    digests = C.digests(spark.createDataFrame(texts, "doc_id long, text string"))
+    index = C.CuckooIndex.empty(spark).insert(digests)
+    kept = lambda x: sorted((r.group_size, r.keep_id) for r in x.content().collect())
+    assert kept(index) == [(1, 9), (5, C.NO_ID)]
+    index = index.delete(digests.where("doc_id is null"))
+    assert kept(index) == [(1, 9), (4, 1)]
+    index = index.delete(digests.where("doc_id = 1"))
+    assert kept(index) == [(1, 9), (3, 3)]
+    index = index.delete(digests.where("doc_id = 3").limit(1)).delete(digests.where("doc_id = 77"))
+    assert kept(index) == [(1, 9), (2, 3)]
+    index = index.delete(digests.where("doc_id in (3, 9)"))
+    assert kept(index) == [(1, 2)]
+    monkeypatch.setattr(C, "BUCKET_ROWS", 2)
+    many = C.digests(spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    more = index.insert(many)
+    assert more.buckets > 16 and more.content().count() == 301 and more.delete(many).content().count() == 1
+
+
 def brute_sets(data, n=5):
     sets = []
     for _, text, *_ in data:

@@ -25,25 +25,33 @@ import corpus_pipeline  # noqa: E402
 def test_ranks_are_dense(spark, odd):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
     got = {}
-    for r in _common.ranked(df, ["k"], ["id"], 8).collect():
+    for r in _common.ranked(df, ["k"], ["id"], 9 * _common.RANK_ROWS).collect():
         got.setdefault(r.k, []).append(r["rank"])
     assert {k: sorted(v) for k, v in got.items()} == {0: list(range(334)), 1: list(range(333)), 2: list(range(333))}
-    assert sorted(r["rank"] for r in _common.ranked(odd, ["lang"], ["doc_id"]).where("lang is null").collect()) == [0, 1]
+    assert sorted(r["rank"] for r in _common.ranked(odd, ["lang"], ["doc_id"], 13).where("lang is null").collect()) == [0, 1]
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1000}, {x: i + 1 for i, x in enumerate("abcdefghijklm")}, {"one": 2}])
-def test_schedule_is_within_one_block(spark, weights):
-    plan = mixing.schedule(mixing.given_weights(spark, weights), 128).collect()
-    size, total = plan[0]["size"], sum(weights.values())
-    assert sorted(x for r in plan for x in r["slots"]) == list(range(size))
-    for r in plan:
-        a = len(r["slots"])
-        assert abs(a - weights[r["source"]] / total * size) <= 1 + len(weights) * weights[r["source"]] / total
-        for i, slot in enumerate(r["slots"]):
-            assert i * size // a <= slot < math.ceil((i + 1) * size / a)
-        taken = np.zeros(size + 1)
-        taken[np.array(r["slots"]) + 1] = 1
-        assert np.abs(np.cumsum(taken) - np.arange(size + 1) * a / size).max() < 1
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"heavy": 0.9} | {f"s{i:02d}": 0.005 for i in range(20)}, {"a": 0.6, "b": 0.3, "c": 0.05, "d": 0.05}, {"one": 2}])
+def test_every_slot_is_within_a_block_of_the_given_weights(spark, weights):
+    """Over many periods, of all sources together: done blocks against the weights themselves, slot by slot."""
+    total, size, periods = sum(weights.values()), 64, 200
+    last = spark.createDataFrame([(k, max(1, int(w / total * size * periods))) for k, w in weights.items()], "source string, blocks long")
+    plan = mixing.slots(mixing.given_weights(spark, weights), last, size).select("source", "slot").collect()
+    slots = sorted(r.slot for r in plan)
+    assert slots == list(range(len(slots)))
+    for name, w in weights.items():
+        taken = np.zeros(len(slots) + 1)
+        taken[[r.slot + 1 for r in plan if r.source == name]] = 1
+        assert np.abs(np.cumsum(taken) - np.arange(len(slots) + 1) * w / total).max() < 1 + 1e-4
+
+
+def test_columns_named_like_those_within(spark):
+    names = ["slots", "_rank", "_size", "_slot", "_key", "_bucket", "rank", "of", "at", "row", "my col", "_n"]
+    docs = spark.createDataFrame([(i, "t", "s", *([7] * len(names))) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{x}` int" for x in names))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "block", "release", "deadline", "slot", "place"] and mixed.count() == 40
+    placed = sharding.shard(docs, "doc_id", ["a", "b"], 11)
+    assert placed.columns == [*docs.columns, "slot", "shard"] and placed.count() == 40
 
 
 def test_mixing_follows_the_true_weights_for_many_periods(spark):
@@ -106,7 +114,6 @@ def test_lookup_table_is_brute_force(spark, odd, odd_clash, none):
 
 def check_packing(data, got, capacity):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     want = []
     for id_, text, *_ in data:
         ids = [*slow.encode(text or "", add_special_tokens=False).ids, 2]
@@ -124,6 +131,11 @@ def check_packing(data, got, capacity):
     return len(sequences)
 
 
+def test_added_tokens_are_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encode(["a<|endoftext|>b", "plain"], path)[0][1] == 50256
+
+
 def test_packing_round_trip(spark, odd, odd_clash, none):
     data = [(i, prose(i, 3 + i * 7 % 900), "en", "a", 1) for i in range(150)] + [(900, "<|endoftext|> \x85   中文 кириллица", "en", "a", 1)]
     used = check_packing(data, packing.pack(spark.createDataFrame(data, SCHEMA)).collect(), 1024)
@@ -271,7 +283,8 @@ def test_mixing_stage_orders_the_files(spark, tmp_path):
     corpus_pipeline.mix(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
     order = [r.source for p in sorted(Path(f"{tmp_path}/mixed").glob("part-*")) for r in spark.read.parquet(str(p)).coalesce(1).collect()]
     assert len(order) == 4000
-    plan = {r["source"]: len(r["slots"]) / r["size"] for r in mixing.schedule(mixing.natural_weights(docs)).collect()}
+    weights = {r["source"]: r["weight"] for r in mixing.natural_weights(docs).collect()}
+    plan = {k: w / sum(weights.values()) for k, w in weights.items()}
     for n in (500, 1000, 1500):
         for source, share in plan.items():
             assert abs(order[:n].count(source) - share * n) <= 2 * mixing.BLOCK
