@@ -59,7 +59,7 @@ def write_bundle(ledger: DataFrame, folder: str, plan_id: str) -> dict[str, str]
     ledgers.append(ledger, paths["ledger"])
     spark = ledger.sparkSession
     text = evaluation.render(evaluation.summarise(ledgers.read(spark, paths["ledger"])))
-    said = evaluation.manifest(plan_id, ledger.select("run_id").toPandas(), **paths)
-    for name, value in (("report", text), ("manifest", said)):
-        spark.range(1).select(F.lit(value).alias("value")).coalesce(1).write.mode("overwrite").text(paths[name])
+    said = evaluation.manifest(plan_id, ledger, **paths)
+    for name, row in (("report", spark.range(1).select(F.lit(text).alias("value"))), ("manifest", said)):
+        row.coalesce(1).write.mode("overwrite").text(paths[name])
     return paths

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from ..functions import text as X
 from ..functions.text import cosine
 
 
@@ -32,27 +34,76 @@ def nearest(rows: DataFrame, id_: str, vector: str, probes: DataFrame, probe: st
 
 
 def greedy_fit(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
-    """Items in order, each taken if it still fits its key's budget: (keys, item, running).
+    """Items in order, each taken if it still fits its key's budget: (keys, item, running). No cost is negative.
 
-    Items that cost more than the whole budget never fit, so they leave before the shuffle. The rest of
-    a key is folded by an ordered aggregate in one row: a pack is as large as its key's candidates.
+    What is used only grows, so of the items of one cost c the taken ones are the first ones, budget / c
+    at most: all others leave by a rank within (key, cost), of which Spark keeps ``budget`` rows a task before the
+    shuffle. So few are left (budget * ln(budget) for a key, whatever its size) that an ordered aggregate folds them in
+    one row. Items without cost are always taken; they look up how far the fold has come.
     """
-    costs = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(item).alias("item"), F.col(cost).cast("long").alias("cost"))
-    rows = df.where(F.col(cost) <= budget).groupBy(*keys).agg(F.array_sort(F.collect_list(costs)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<item:{df.schema[item].dataType.simpleString()},running:bigint>>)").alias("taken"))
+    names = [f"_o{i}" for i in range(len(order))]
+    given = df.select(*keys, *[c.alias(n) for n, c in zip(names, order, strict=True)], F.col(item).alias("item"), F.col(cost).cast("long").alias("cost"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "cost").orderBy(*names, "item"))
+    able = given.where((F.col("cost") > 0) & (F.col("cost") <= budget)).withColumn("_rank", rank).where((F.col("_rank") <= budget) & (F.col("_rank") * F.col("cost") <= budget))
+    place = F.struct(*names, "item")
+    rows = able.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "cost"))).alias("rows"))
+    kind = rows.schema["rows"].dataType.elementType["place"].dataType
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(ArrayType(StructType([StructField("place", kind), StructField("running", LongType())]))).alias("taken"))
 
     def step(state, row):
         used = state["used"] + row["cost"]
-        taken = F.concat(state["taken"], F.array(F.struct(row["item"].alias("item"), used.alias("running"))))
+        taken = F.concat(state["taken"], F.array(F.struct(row["place"].alias("place"), used.alias("running"))))
         return F.when(used <= budget, F.struct(used.alias("used"), taken.alias("taken"))).otherwise(state)
 
-    picked = rows.select(*keys, F.inline(F.aggregate("rows", start, step, lambda s: s["taken"])))
-    return picked.select(*keys, F.col("item").alias(item), "running")
+    folded = rows.select(*keys, F.aggregate("rows", start, step, lambda s: s["taken"]).alias("taken"))
+    picked = folded.select(*keys, F.inline("taken")).select(*keys, F.col("place.item").alias(item), "running")
+    free = given.where("cost = 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place.alias("_place"), "item")
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    before = F.array_max(F.transform(F.filter("taken", lambda x: x["place"] < F.col("_place")), lambda x: x["running"]))
+    beside = free.join(folded, same, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("item").alias(item), F.coalesce(before, F.lit(0)).cast("long").alias("running"))
+    return picked.unionByName(beside)
 
 
 def assemble(df: DataFrame, keys: list[str], section: str, order: list[str], content: str, title: str = "# Context") -> DataFrame:
-    """A text for each key: its sections in order, each with its contents in order."""
+    """A text for each key: its sections in order, each with its contents in order.
+
+    A document is one string, as its reader takes it; packs keep it to a token budget.
+    """
     parts = df.groupBy(*keys, section).agg(F.array_sort(F.collect_list(F.struct(*order, content))).alias("rows"))
     body = F.concat(F.lit("## "), F.col(section), F.lit("\n"), F.array_join(F.col(f"rows.{content}"), "\n"))
     whole = parts.select(*keys, section, body.alias("body")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(section, "body"))).alias("parts"))
     return whole.select(*keys, F.concat(F.lit(title + "\n"), F.array_join("parts.body", "\n\n")).alias("document"))
+
+
+#: Words of a long phrase's key, and characters of a short one's.
+KEY_WORDS, KEY_CHARS = 4, 3
+
+
+def phrases(items: DataFrame, item: str, phrase: str, docs: DataFrame, doc: str, body: str) -> DataFrame:
+    """(item, doc, phrase, body) of the phrases that a body contains; an empty phrase is in every body.
+
+    Not a theta join. A phrase's first word may begin, and its last may end, inside a body's word, so its inner
+    words are its key: ``KEY_WORDS`` of them, or one. A phrase without an inner word has its first ``KEY_CHARS``
+    characters as its key, and bodies give their distinct windows of as many; shorter ones are keyed by all of
+    their characters. A body gives only windows that some phrase's kind of key needs. Where keys meet, the phrase is looked for.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
+    p, n = F.col(phrase), F.size(words(F.col(phrase)))
+    kind = F.when(n >= KEY_WORDS + 2, "w4").when(n >= 3, "w1").otherwise(F.concat(F.lit("c"), F.least(F.length(p), F.lit(KEY_CHARS)).cast("string")))
+    inner = F.when(n >= KEY_WORDS + 2, KEY_WORDS).otherwise(1)
+    key = F.when(n >= 3, F.array_join(F.slice(words(p), F.lit(2), inner), " ")).otherwise(F.substring(p, 1, KEY_CHARS))
+    keyed = items.select(item, phrase, F.concat_ws(":", kind, key).alias("_key"), kind.alias("_kind")).where(p.isNotNull())
+    kinds = {r[0] for r in keyed.select("_kind").distinct().collect()}  # six at most
+    b = F.col(body)
+    chars = lambda k: F.regexp_extract_all(b, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    windows = {"w4": X.ngrams(words(b), KEY_WORDS), "w1": words(b), "c0": F.array(F.lit(""))} | {f"c{k}": chars(k) for k in range(1, KEY_CHARS + 1)}
+
+    def tagged(k: str) -> Column:
+        return F.transform(F.array_distinct(windows[k]), lambda x: F.concat(F.lit(f"{k}:"), x))
+
+    given = [tagged(k) for k in sorted(kinds)]
+    if not given:
+        return items.join(docs).where(F.lit(False)).select(item, doc, phrase, body)
+    grams = docs.where(b.isNotNull()).select(doc, F.explode(F.concat(*given)).alias("_key"))
+    hits = grams.join(keyed.select(item, "_key"), "_key").select(item, doc).distinct()
+    return hits.join(items, item).join(docs, doc).where(F.contains(body, p)).select(item, doc, phrase, body)

@@ -111,21 +111,10 @@ def q_lexical_topk(spark, sf_dir):
     SELECT item_id, doc_id, CASE WHEN lower(d.text) = lower(b.text) THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS score FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))
 """)
 def q_phrase_match(spark, sf_dir):
-    """Benchmark items that a document contains whole, letter case aside; items have three words or more.
-
-    Not a theta join: an item's inner words (four, or one of a short item) are its key, and documents
-    join on their windows of words that are some item's key; only then is the phrase looked for.
-    """
-    words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
+    """Benchmark items that a document contains whole, letter case aside."""
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
     docs = _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.lower("text").alias("body"))
-    # the first word may begin, and the last may end, inside a document's word
-    n = F.when(F.size(words(F.col("phrase"))) >= 6, 4).otherwise(1)
-    keyed = items.select("item_id", "phrase", F.array_join(F.slice(words(F.col("phrase")), F.lit(2), n), " ").alias("key"))
-    found = words(F.col("body"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.concat(X.ngrams(found, 4), found))).alias("key"))
-    hits = grams.join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    whole = hits.join(items, "item_id").join(docs, "doc_id").where(F.contains("body", F.col("phrase")))
+    whole = folds.phrases(items, "item_id", "phrase", docs, "doc_id", "body")
     return whole.select("item_id", "doc_id", X.phrase(F.col("phrase"), F.col("body")).alias("score"))
 
 
@@ -354,6 +343,19 @@ def q_closure(spark, sf_dir):
     return graph.closure(_places(spark, sf_dir))
 
 
+@query("""
+    WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09),
+    c AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < (SELECT count(*) FROM nation))
+    SELECT src, dst, min(depth) AS depth FROM c GROUP BY src, dst
+""")
+def q_closure_cyclic(spark, sf_dir):
+    """Which nations' suppliers reach which nations' customers, over any number of large orders: a graph with cycles."""
+    large = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    buyers = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey")
+    sellers = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    return graph.closure(large.join(buyers, "o_orderkey").join(sellers, "s_suppkey").select("src", "dst"))
+
+
 @query(f"""
     WITH {_PLACES}, n AS (SELECT 's' || s_suppkey AS id, s_acctbal / 1000 AS s FROM supplier UNION ALL SELECT 'n' || n_nationkey, 0.0 FROM nation UNION ALL SELECT 'r' || r_regionkey, 1.0 FROM region),
     a AS (SELECT id, s + coalesce((SELECT 0.3 * sum(m.s) FROM e JOIN n m ON m.id = e.dst WHERE e.src = n.id), 0) AS s FROM n),

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import file_packs, intervals, rollups
 from ..operators.relational import optional_match
 from ..sources import ledger as ledgers
-from .scoring import bounded
+from .scoring import asked_of
 from .semantics import Program, absolute_module
 
 #: How many files the baselines consider, and how many of them seed a neighbourhood.
@@ -45,7 +45,7 @@ def unresolved_report(resolved: DataFrame) -> DataFrame:
 def scored_files(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, query, repo_id, path, text, tokens, score, rank) of every file, best first."""
     text = F.decode("content", "UTF-8")
-    rows = files.select("repo_id", "path", text.alias("text")).join(F.broadcast(bounded(queries.select("query_id", "query").distinct())))
+    rows = asked_of(files.select("repo_id", "path", text.alias("text")), queries.select("query_id", "query").distinct())
     score = X.file_score(X.terms(F.col("query")), X.tokens(F.col("text")), X.tokens(F.col("path")))
     return rows.withColumns({"tokens": X.estimate_tokens(F.col("text")), "score": score})
 
@@ -188,6 +188,8 @@ def render(summary: dict[str, DataFrame]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def manifest(plan_id: str, runs: pd.DataFrame, **paths: str) -> str:
-    """A run plan's counts and ids as JSON."""
-    return json.dumps({"plan_id": plan_id, "record_count": len(runs), "run_ids": sorted(runs["run_id"]), "paths": paths}, sort_keys=True, indent=2)
+def manifest(plan_id: str, runs: DataFrame, **paths: str) -> DataFrame:
+    """A run plan's counts and ids (of the column run_id) as one row of JSON, made where the rows are."""
+    named = F.map_from_arrays(F.array(*[F.lit(k) for k in paths]), F.array(*[F.lit(v) for v in paths.values()]))
+    ids = runs.agg(F.array_sort(F.collect_list("run_id")).alias("run_ids"))
+    return ids.select(F.to_json(F.struct(F.lit(plan_id).alias("plan_id"), F.size("run_ids").alias("record_count"), "run_ids", named.alias("paths"))).alias("value"))

@@ -59,9 +59,93 @@ _OPEN = """
     shop | route | unresolved_name | call
 """
 
+_FACTS = """
+    library | lib/__init__.py | definition 1, file 1, import 1
+    library | lib/core.py | assignment 1, attribute 1, call 4, definition 3, file 1, import 2, parameter 2
+    library | lib/helpers.py | attribute 1, call 2, definition 3, file 1, parameter 2
+    shop | shop/__init__.py | definition 1, file 1
+    shop | shop/app.py | assignment 2, attribute 4, base 1, call 6, decorator 1, definition 5, file 1, import 4, parameter 3
+    shop | shop/base.py | assignment 1, attribute 2, call 1, definition 4, file 1, parameter 4
+    shop | shop/broken.py | definition 1, diagnostic 1, file 1
+    shop | shop/money.py | assignment 1, call 1, definition 3, file 1, parameter 2
+"""
+_BOUND = """
+    library | def:lib/__init__.py:lib | load | import | import:lib/__init__.py:1:0:1:load:_
+    library | def:lib/core.py:lib.core | helpers | import | import:lib/core.py:1:0:1:helpers:_
+    library | def:lib/core.py:lib.core | load | definition | def:lib/core.py:lib.core.load
+    library | def:lib/core.py:lib.core | load_all | definition | def:lib/core.py:lib.core.load_all
+    library | def:lib/core.py:lib.core | tidy | import | import:lib/core.py:2:0:1:tidy:_
+    library | def:lib/core.py:lib.core.load | path | parameter | parameter:def:lib/core.py:lib.core.load:0:positional_or_keyword:path
+    library | def:lib/core.py:lib.core.load | text | assignment | assign:lib/core.py:5:4:1
+    library | def:lib/core.py:lib.core.load_all | paths | parameter | parameter:def:lib/core.py:lib.core.load_all:0:positional_or_keyword:paths
+    library | def:lib/helpers.py:lib.helpers | strip | definition | def:lib/helpers.py:lib.helpers.strip
+    library | def:lib/helpers.py:lib.helpers | tidy | definition | def:lib/helpers.py:lib.helpers.tidy
+    library | def:lib/helpers.py:lib.helpers.strip | text | parameter | parameter:def:lib/helpers.py:lib.helpers.strip:0:positional_or_keyword:text
+    library | def:lib/helpers.py:lib.helpers.tidy | text | parameter | parameter:def:lib/helpers.py:lib.helpers.tidy:0:positional_or_keyword:text
+    shop | def:shop/app.py:shop.app | Desk | definition | def:shop/app.py:shop.app.Desk
+    shop | def:shop/app.py:shop.app | Handler | import | import:shop/app.py:1:0:1:Handler:_
+    shop | def:shop/app.py:shop.app | Order | definition | def:shop/app.py:shop.app.Order
+    shop | def:shop/app.py:shop.app | dataclass | import | import:shop/app.py:3:0:1:dataclass:_
+    shop | def:shop/app.py:shop.app | m | import | import:shop/app.py:2:0:1:money:m
+    shop | def:shop/app.py:shop.app | route | definition | def:shop/app.py:shop.app.route
+    shop | def:shop/app.py:shop.app.Desk | serve | definition | def:shop/app.py:shop.app.Desk.serve
+    shop | def:shop/app.py:shop.app.Desk.serve | order | parameter | parameter:def:shop/app.py:shop.app.Desk.serve:1:positional_or_keyword:order
+    shop | def:shop/app.py:shop.app.Desk.serve | self | parameter | parameter:def:shop/app.py:shop.app.Desk.serve:0:positional_or_keyword:self
+    shop | def:shop/app.py:shop.app.Order | name | class_attribute | assign:shop/app.py:8:4
+    shop | def:shop/app.py:shop.app.Order | total | class_attribute | assign:shop/app.py:9:4
+    shop | def:shop/app.py:shop.app.route | order | parameter | parameter:def:shop/app.py:shop.app.route:0:positional_or_keyword:order
+    shop | def:shop/base.py:shop.base | Handler | definition | def:shop/base.py:shop.base.Handler
+    shop | def:shop/base.py:shop.base.Handler | check | definition | def:shop/base.py:shop.base.Handler.check
+    shop | def:shop/base.py:shop.base.Handler | handle | definition | def:shop/base.py:shop.base.Handler.handle
+    shop | def:shop/base.py:shop.base.Handler | limit | class_attribute | assign:shop/base.py:2:4:1
+    shop | def:shop/base.py:shop.base.Handler.check | order | parameter | parameter:def:shop/base.py:shop.base.Handler.check:1:positional_or_keyword:order
+    shop | def:shop/base.py:shop.base.Handler.check | self | parameter | parameter:def:shop/base.py:shop.base.Handler.check:0:positional_or_keyword:self
+    shop | def:shop/base.py:shop.base.Handler.handle | order | parameter | parameter:def:shop/base.py:shop.base.Handler.handle:1:positional_or_keyword:order
+    shop | def:shop/base.py:shop.base.Handler.handle | self | parameter | parameter:def:shop/base.py:shop.base.Handler.handle:0:positional_or_keyword:self
+    shop | def:shop/money.py:shop.money | RATE | assignment | assign:shop/money.py:1:0:1
+    shop | def:shop/money.py:shop.money | convert | definition | def:shop/money.py:shop.money.convert
+    shop | def:shop/money.py:shop.money | rounded | definition | def:shop/money.py:shop.money.rounded
+    shop | def:shop/money.py:shop.money.convert | amount | parameter | parameter:def:shop/money.py:shop.money.convert:0:positional_or_keyword:amount
+    shop | def:shop/money.py:shop.money.rounded | amount | parameter | parameter:def:shop/money.py:shop.money.rounded:0:positional_or_keyword:amount
+"""
+_IMPORTED = """
+    library | import:lib/__init__.py:1:0:1:load:_ | load | definition | lib.core.load | def:lib/core.py:lib.core.load
+    library | import:lib/core.py:1:0:1:helpers:_ | helpers | module | lib.helpers | def:lib/helpers.py:lib.helpers
+    library | import:lib/core.py:2:0:1:tidy:_ | tidy | definition | lib.helpers.tidy | def:lib/helpers.py:lib.helpers.tidy
+    shop | import:shop/app.py:1:0:1:Handler:_ | Handler | definition | shop.base.Handler | def:shop/base.py:shop.base.Handler
+    shop | import:shop/app.py:2:0:1:money:m | m | module | shop.money | def:shop/money.py:shop.money
+    shop | import:shop/app.py:3:0:1:dataclass:_ | dataclass | external | dataclasses.dataclass | -
+"""
+_FILE_PACKS = """
+    q_convert:file_order_floor:120 | shop/__init__.py,shop/base.py,shop/broken.py | - | 99 | True
+    q_convert:file_order_floor:260 | shop/__init__.py,shop/app.py,shop/base.py,shop/broken.py,shop/money.py | - | 232 | True
+    q_convert:import_neighborhood_files:120 | shop/money.py | import_not_resolved,star_import_not_expanded | 78 | True
+    q_convert:import_neighborhood_files:260 | shop/money.py,shop/app.py,shop/base.py | import_not_resolved,star_import_not_expanded | 224 | True
+    q_convert:lexical_top_k_files:120 | shop/money.py,shop/base.py | - | 118 | True
+    q_convert:lexical_top_k_files:260 | shop/money.py,shop/app.py,shop/base.py | - | 219 | True
+    q_desk:file_order_floor:120 | shop/__init__.py,shop/base.py,shop/broken.py | - | 94 | True
+    q_desk:file_order_floor:260 | shop/__init__.py,shop/app.py,shop/base.py,shop/broken.py,shop/money.py | - | 227 | True
+    q_desk:import_neighborhood_files:120 | shop/base.py,shop/money.py | import_not_resolved,star_import_not_expanded | 117 | True
+    q_desk:import_neighborhood_files:260 | shop/app.py,shop/base.py,shop/money.py | import_not_resolved,star_import_not_expanded | 219 | True
+    q_desk:lexical_top_k_files:120 | shop/base.py | - | 82 | True
+    q_desk:lexical_top_k_files:260 | shop/app.py,shop/base.py | - | 183 | True
+    q_load:file_order_floor:120 | shop/__init__.py,shop/base.py,shop/broken.py | - | 93 | True
+    q_load:file_order_floor:260 | shop/__init__.py,shop/app.py,shop/base.py,shop/broken.py,shop/money.py | - | 226 | True
+    q_load:import_neighborhood_files:120 | - | no_positive_seed | 41 | True
+    q_load:import_neighborhood_files:260 | - | no_positive_seed | 41 | True
+    q_load:lexical_top_k_files:120 | - | no_positive_lexical_score | 40 | True
+    q_load:lexical_top_k_files:260 | - | no_positive_lexical_score | 40 | True
+"""
+
 
 def oracle_sql():
+    empty = lambda c: f"CASE WHEN {c} = '-' THEN '' ELSE {c} END AS {c}"
     return {
+        "q_py_facts": f"WITH v AS ({_values('repo_id, path, facts', _FACTS)}), e AS (SELECT repo_id, path, unnest(string_split(facts, ', ')) AS x FROM v) SELECT repo_id, path, split_part(x, ' ', 1) AS fact, CAST(split_part(x, ' ', 2) AS BIGINT) AS n FROM e",
+        "q_bindings": _values("repo_id, scope_id, name, binding_kind, symbol_id", _BOUND),
+        "q_resolved_imports": f"SELECT * REPLACE (nullif(target, '-') AS target) FROM ({_values('repo_id, import_id, bound_name, target_kind, target_name, target', _IMPORTED)})",
+        "q_file_packs": f"SELECT run_id, {empty('files')}, {empty('warnings')}, CAST(total_tokens AS INTEGER) AS total_tokens, CAST(fits AS BOOLEAN) AS fits FROM ({_values('run_id, files, warnings, total_tokens, fits', _FILE_PACKS)})",
+        "q_provenance": "SELECT 'shop' AS repo_id, 'getattr' AS family, 'unsupported:call:shop/app.py:18:4' AS construct_id, CAST(2 AS INTEGER) AS argc",
         "q_dependencies": _values("repo_id, src, dst, kind", _EDGES),
         "q_frontier": _values("repo_id, text, reason_code, context", _OPEN),
         "q_ledger_roundtrip": """

@@ -82,8 +82,7 @@ def direct(unit_table: DataFrame, queries: DataFrame, embed: Callable[[list[str]
     searchable = joined(F.col("primary_text"), F.col("path"), F.col("extra"), F.col("summary"))
     body = F.when(F.col("symbol_kind").isin(_BODY_KINDS), F.col("source"))
     rows = unit_table.select("repo_id", "unit_id", "kind", "scope_id", "primary_text", "path", searchable.alias("searchable"), body.alias("body"))
-    asked_here = F.broadcast(bounded(queries))
-    rows = rows.join(asked_here, "repo_id") if "repo_id" in queries.columns else rows.join(asked_here)
+    rows = asked_of(rows, queries)
     lexical = X.relevance(F.col("query"), F.col("primary_text"), F.col("searchable"), F.col("path"), F.col("body"))
     if embed is None:
         meaning = F.lit(0.0)
@@ -98,14 +97,22 @@ def direct(unit_table: DataFrame, queries: DataFrame, embed: Callable[[list[str]
     return rows.select("query_id", "repo_id", "unit_id", "kind", "scope_id", F.when(asked, edit).otherwise(0.0).alias("p_edit"), F.when(asked, support).otherwise(0.0).alias("p_support"))
 
 
-#: Queries of one call: the stated query set is what is broadcast, so its size is checked.
-MAX_QUERIES = 1000
+#: Queries of a block: what meets each row at once.
+QUERY_BLOCK = 256
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries in one call")
-    return queries
+def asked_of(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """rows with each query: of their repository where queries name one, of all rows else.
+
+    A stated query set meets all rows in blocks: queries are gathered into blocks of a bounded size and
+    each row goes to each block, an equi-join, so that any number of queries works and none is broadcast.
+    """
+    if "repo_id" in queries.columns:
+        return rows.join(queries, "repo_id")
+    n = 1 + queries.count() // QUERY_BLOCK
+    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(*queries.columns)).alias("_asked"))
+    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.join(held, "_block").withColumn("_q", F.explode("_asked")).select(*rows.columns, "_q.*")
 
 
 def _embedded(embed):

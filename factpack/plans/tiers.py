@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources import outline
 from ..tables import cut
-from .scoring import bounded
+from .scoring import asked_of
 
 TIERS = ("omit", "summary", "stub", "slice", "full")
 #: What a tier is worth, how scores mix, and how they spread.
@@ -108,7 +108,7 @@ def renders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def score(nodes: DataFrame, edges: DataFrame, queries: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """(query_id, repo_id, node_id, p_edit, p_support); ``similar`` holds (query_id, repo_id, node_id, meaning)."""
-    rows = nodes.select("repo_id", "node_id", "name", "kind", "path", "parent", "source").join(F.broadcast(bounded(queries.select("query_id", query_terms(F.col("query")).alias("terms")))))
+    rows = asked_of(nodes.select("repo_id", "node_id", "name", "kind", "path", "parent", "source"), queries.select("query_id", query_terms(F.col("query")).alias("terms")))
     name, path = F.lower("name"), F.lower("path")
     file = F.substring_index(path, "/", -1)
     most = lambda f: F.coalesce(F.array_max(F.transform("terms", f)), F.lit(0.0))

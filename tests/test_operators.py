@@ -74,10 +74,38 @@ def test_touching_intervals_stay_apart(spark):
     assert {r.k: r.tokens for r in intervals.credited(merged, ["k"]).collect()} == {"a": 3, "b": 1}
 
 
-def test_closure_of_a_cycle(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
-    got = {(r.src, r.dst): r.depth for r in graph.closure(edges, 10).collect()}
-    assert got["a", "d"] == 3 and got["a", "a"] == 3 and len(got) == 12
+def brute_closure(edges):
+    follow, out = {}, {}
+    for a, b in edges:
+        follow.setdefault(a, set()).add(b)
+    for start in follow:
+        seen, front, depth = {}, {start}, 0
+        while front:
+            depth += 1
+            front = {b for a in front for b in follow.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(front, depth)
+        out |= {(start, b): d for b, d in seen.items()}
+    return out
+
+
+def test_closure_is_brute_force(spark):
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(70)]
+    diamonds = [x for i in range(24) for x in ((f"d{i}", f"l{i}"), (f"d{i}", f"r{i}"), (f"l{i}", f"d{i + 1}"), (f"r{i}", f"d{i + 1}"))]
+    chorded = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("a", "b"), ("z", "z"), (None, "a"), ("d", None)]
+    edges = chain + diamonds + chorded
+    got = {(r.src, r.dst): r.depth for r in graph.closure(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == brute_closure([x for x in edges if None not in x])
+    assert graph.closure(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_phrases_of_any_length(spark):
+    items = ["quick", "brown fo", "the quick brown fox jumped", "k b", "", "q", "lazy dogs; they all sleep late today", "none of this", "x😀y", None, "over the"]
+    bodies = ["the quick brown fox jumped over", "lazy dogs; they all sleep late todays", "", "wx😀yz over the", None, "sleep"]
+    df = spark.createDataFrame(list(enumerate(items)), "i int, p string")
+    docs = spark.createDataFrame(list(enumerate(bodies)), "d int, b string")
+    for some in (items, ["over the"], ["lazy dogs; they all sleep late today"], []):
+        got = {(r.i, r.d) for r in folds.phrases(df.where(F.col("p").isin(some)) if some else df.limit(0), "i", "p", docs, "d", "b").collect()}
+        assert got == {(i, d) for i, p in enumerate(items) for d, b in enumerate(bodies) if p in some and p is not None and b is not None and p in b}
 
 
 def test_noisy_or_in_any_order(spark):
@@ -94,10 +122,22 @@ def test_weighted_leaves_nulls_out(spark):
     assert got == [1.0, pytest.approx(0.4375), None]
 
 
-def test_greedy_fit_skips_what_does_not_fit(spark):
+def test_greedy_fit_is_brute_force(spark):
     df = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 4), ("a", 4, 11), ("b", 5, 10)], "k string, i int, c int")
     got = folds.greedy_fit(df, ["k"], [F.col("i")], "i", "c", 10)
     assert sorted(map(tuple, got.collect())) == [("a", 1, 6), ("a", 3, 10), ("b", 5, 10)]
+    draw = random.Random(2)
+    rows = [(draw.choice(["a", "b", None]), i, draw.choice([0, 0, 1, 2, 3, 5, 8, 20, 21, 60]), draw.randrange(50)) for i in range(400)]
+    got = folds.greedy_fit(spark.createDataFrame(rows, "k string, i int, c int, o int"), ["k"], [-F.col("o")], "i", "c", 40)
+    want = []
+    for k in ("a", "b", None):
+        used = 0
+        for _, i, c, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[3], r[1])):
+            if used + c <= 40:
+                used += c
+                want.append((k, i, used))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
 
 
 def test_text_functions(spark):

@@ -130,7 +130,7 @@ def drawn(draw, n):
         kind = draw.choice(["proven_symbol"] * 3 + ["unresolved_frontier", "unsupported_construct"])
         cost = sorted(draw.randrange(1, 40) for _ in range(3))
         draw.shuffle(cost)
-        units.append(P.Unit(ids[i], kind, draw.choice("ab"), i, 0, draw.choice([0, 0.04, 0.1, 0.2, 0.25, 0.35, 0.6]), draw.choice([0, 0.05, 0.2, 0.25, 0.3]), dict(zip(P.RANK, cost, strict=True)), draw.choice([None, *ids]), draw.choice([None, "u0"]), {d: d * 3 for d in P.RANK}, frozenset(draw.sample(ids, draw.randrange(3))), frozenset(draw.sample(ids, draw.randrange(3)))))
+        units.append(P.Unit(ids[i], kind, draw.choice("ab"), i, 0, draw.choice([0, 0.04, 0.1, 0.2, 0.25, 0.35, 0.6]), draw.choice([0, 0.05, 0.2, 0.25, 0.3]), dict(zip(P.RANK, cost, strict=True)), draw.choice([None, *ids]), draw.choice([None, "u0"]), {d: d * 3 for d in P.RANK}, frozenset(draw.sample(ids, min(n, draw.randrange(3)))), frozenset(draw.sample(ids, min(n, draw.randrange(3))))))
     return units
 
 
