@@ -4,19 +4,20 @@ Base spans come from the patterns ``assign``, ``access`` and ``hex`` below. Besi
 20 or more token characters is a candidate:
 
 1. Its *encoding* is inferred: the smallest alphabet of ``ALPHABETS`` that holds its characters.
-2. The *battery* tests it against uniform draws from that alphabet: chi-squared uniformity (with the
-   exact mean and variance, as expected counts are small), a runs test of the upper against the lower
-   half of the alphabet, and lag-1 serial correlation. A candidate that any test rejects at
-   ``LEVEL / 3`` is structured, not random, and goes.
-3. A p-value against *writing* (letters at prose frequencies that seldom change their class) bounds
-   what chance there is that written text looks so random: by Markov's inequality the likelihood
-   ratio of uniform to writing is at least 1/p with probability p at most. It shrinks with length.
+2. The *battery* takes three statistics: chi-squared over the alphabet, which is a number of equal pairs; the runs
+   of characters of a kind (lower, upper, digit, sign; of the alphabet's halves where it has one kind); and the
+   lag-1 serial correlation. Each is tested against uniform draws from that alphabet (with exact means and
+   variances, as expected counts are small). A candidate that any test rejects at ``LEVEL / 3`` is structured, and goes.
+3. The same statistics are tested against *writing*: letters at prose frequencies that seldom change their kind.
+   Writing has more equal pairs, longer runs and more correlation, so each test is one-sided, and Fisher's rule
+   combines the three p-values into one. It shrinks with length, as the statistics sharpen.
 4. *False-discovery control*: within each band of lengths, over the candidates of all documents, the
-   Benjamini-Hochberg step-up rule at ``Q`` on p-values rounded up to a tenth of a decade. The driver
+   Benjamini-Hochberg step-up rule at ``Q`` on these p-values, rounded up to a tenth of a decade. The driver
    sees only the histogram: (bands) x (tenths of decades) numbers.
 
 What survives and touches no base span is added as kind ``random``. Nulls count as empty texts; a text
-without spans has the SHA-256 of the empty string and empty spans; rows with equal ids each get a row.
+without spans has the SHA-256 of the empty string and empty spans; rows with equal ids each get a row. Very
+long texts are read whole. An empty table gives no rows. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -61,23 +62,11 @@ STEPS = 400
 
 #: Percent of each letter a to z in English prose.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
-#: In writing, a character is of its predecessor's class (lower, upper, digit, sign) so often.
-STAYS = 0.9
-
-
-def _writing() -> tuple[dict, dict]:
-    kind, log = {}, {}
-    for i, share in enumerate(LETTERS):
-        for c, k in ((_LOWER[i], 0), (_UPPER[i], 1)):
-            kind[c], log[c] = k, math.log(share / sum(LETTERS))
-    for c in _DIGITS:
-        kind[c], log[c] = 2, math.log(0.1)
-    for c in "+/-_":
-        kind[c], log[c] = 3, math.log(0.25)
-    return kind, log
-
-
-_KIND, _LOG = _writing()
+#: In writing, a character changes its predecessor's kind so often, and the correlation that this gives.
+CHANGES, CORRELATION = 0.1, 0.5
+_KIND = {c: k for k, letters in enumerate((_LOWER, _UPPER, _DIGITS, "+/-_")) for c in letters}
+#: Chances that two, and three, letters of prose are the same.
+_SAME2, _SAME3 = (sum((x / sum(LETTERS)) ** k for x in LETTERS) for k in (2, 3))
 
 
 def encoding(token: str) -> str:
@@ -88,37 +77,53 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str, letters: str) -> tuple[float, float, float]:
-    """p-values of chi-squared uniformity, runs and serial correlation, against uniform draws."""
-    k, n = len(letters), len(token)
+def _pairs(n: int, same2: float, same3: float) -> tuple[float, float]:
+    """Mean and standard deviation of the number of equal pairs among n letters."""
+    variance = n * (n - 1) / 2 * (same2 - same2**2) + n * (n - 1) * (n - 2) * (same3 - same2**2)
+    return n * (n - 1) / 2 * same2, math.sqrt(max(variance, 1e-9))
+
+
+def _at_least(r: int, n: int, p: float) -> float:
+    """P(X >= r) of a binomial of n draws."""
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(r, n + 1)) if n <= 1000 else _tail((r - 0.5 - n * p) / math.sqrt(n * p * (1 - p)))
+
+
+def statistics(token: str, letters: str) -> tuple[int, int, float, list[int]]:
+    """Equal pairs, changes of kind, serial correlation, and the kinds of the alphabet's letters."""
     x = np.array([letters.index(c) for c in token])
-    counts = np.bincount(x, minlength=k)
-    chi = k / n * float((counts.astype(float) ** 2).sum()) - n
-    uniform = _tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
-    high = x >= k / 2
-    n1 = int(high.sum())
-    n0 = n - n1
-    if n1 and n0:
-        expected = 2 * n0 * n1 / n + 1
-        variance = (expected - 1) * (expected - 2) / (n - 1)
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        run = 2 * _tail(abs(runs - expected) / math.sqrt(variance)) if variance > 0 else 1.0
-    else:
-        run = 2 * 0.5**n
+    counts = np.bincount(x)
+    kinds = [_KIND[c] for c in letters]
+    if len(set(kinds)) == 1:
+        kinds = [int(2 * i >= len(letters)) for i in range(len(letters))]
+    kind = np.array(kinds)[x]
     centred = x - x.mean()
     spread = float((centred**2).sum())
-    serial = 2 * _tail(abs(float((centred[1:] * centred[:-1]).sum()) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    return uniform, run, serial
+    serial = float((centred[1:] * centred[:-1]).sum()) / spread if spread else 1.0
+    return int((counts * (counts - 1)).sum()) // 2, int((kind[1:] != kind[:-1]).sum()), serial, kinds
 
 
-def written(token: str, letters: str) -> float:
-    """log10 of the bound on the chance that writing looks as random as the token."""
-    ratio, last = -len(token) * math.log(len(letters)), None
-    for c in token:
-        kind = _KIND[c]
-        ratio -= _LOG[c] + math.log(0.25 if last is None else STAYS if kind == last else (1 - STAYS) / 3)
-        last = kind
-    return min(0.0, -ratio / math.log(10))
+def battery(token: str, letters: str) -> tuple[float, float, float]:
+    """p-values of chi-squared uniformity, runs and serial correlation, against uniform draws."""
+    k, n = len(letters), len(token)
+    pairs, changes, serial, kinds = statistics(token, letters)
+    mean, deviation = _pairs(n, 1 / k, 1 / k**2)
+    stay = sum((kinds.count(i) / k) ** 2 for i in set(kinds))
+    stay3 = sum((kinds.count(i) / k) ** 3 for i in set(kinds))
+    # changes at two neighbouring places are not independent where kinds differ in size
+    variance = (n - 1) * stay * (1 - stay) + 2 * (n - 2) * (stay3 - stay**2)
+    runs = 2 * _tail(abs(changes - (n - 1) * (1 - stay)) / math.sqrt(variance))
+    return _tail((pairs - mean) / deviation), min(1.0, runs), min(1.0, 2 * _tail(abs(serial + 1 / n) * math.sqrt(n)))
+
+
+def against_writing(token: str, letters: str) -> float:
+    """log10 of Fisher's combined p-value of the battery's statistics, were the token written."""
+    n = len(token)
+    pairs, changes, serial, kinds = statistics(token, letters)
+    mean, deviation = _pairs(n, _SAME2, _SAME3)
+    several = len({_KIND[c] for c in letters}) > 1
+    p = [_tail((mean - pairs) / deviation), _at_least(changes, n - 1, CHANGES) if several else 1.0, _tail(((CORRELATION if several else 0.0) - serial) * math.sqrt(n))]
+    x = -sum(math.log(max(v, 1e-300)) for v in p)
+    return (math.log(1 + x + x * x / 2) - x) / math.log(10)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,7 +146,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         letters = ALPHABETS[encoding(m[0])]
         passed = min(battery(m[0], letters)) >= LEVEL / 3
-        step = min(STEPS, int(-10 * written(m[0], letters))) if passed else 0
+        step = min(STEPS, int(-10 * against_writing(m[0], letters))) if passed else 0
         found.append((m.start(), m.end(), sum(len(m[0]) >= x for x in LENGTHS), step))
     return found
 

@@ -74,6 +74,34 @@ def test_randomness_finds_keys_and_leaves_writing(spark):
     assert sum(got[20 + i].n_random for i in range(20)) == 0
 
 
+def test_random_spans_are_brute_force_step_up(spark):
+    draw = random.Random(12)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    words = ["".join(x.split()) for x in (prose(500 + i, 12) for i in range(60))] + ["/".join(prose(700 + i, 9).split()) for i in range(40)]
+    tokens = words + ["".join(draw.choices(draw.choice(kinds), k=draw.choice([20, 24, 31, 32, 40, 64, 90, 200]))) for _ in range(120)]
+    draw.shuffle(tokens)
+    texts = [" ".join(tokens[i : i + 4]) for i in range(0, len(tokens), 4)]
+    p, where = {}, {}
+    for i, text in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            if any(int(x.split(":")[1]) < m.end() and m.start() < int(x.split(":")[2]) for x in brute_spans(text)):
+                continue
+            letters = S.ALPHABETS[S.encoding(m[0])]
+            fair = min(S.battery(m[0], letters)) >= S.LEVEL / 3
+            step = min(S.STEPS, int(-10 * S.against_writing(m[0], letters))) if fair else 0
+            p[i, m.start(), m.end()] = 10 ** (-step / 10)
+            where[i, m.start(), m.end()] = sum(len(m[0]) >= x for x in S.LENGTHS)
+    want = set()
+    for band in range(4):
+        mine = sorted((v, k) for k, v in p.items() if where[k] == band)
+        last = max((r for r, (v, _) in enumerate(mine, 1) if v < 1 and v <= S.Q * r / len(mine)), default=0)
+        want |= {k for _, k in mine[:last]}
+    got = S.find_secrets(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {(r.doc_id, *map(int, x.split(":")[1:])) for r in got for x in r.spans.split(",") if x.startswith("random")} == want
+    found = {texts[i][a:b] for i, a, b in want}
+    assert not found & set(words) and len(found) > 20
+
+
 def test_battery_holds_its_level():
     draw, letters = random.Random(4), S.ALPHABETS["base64"]
     passed = sum(min(S.battery("".join(draw.choices(letters, k=40)), letters)) >= S.LEVEL / 3 for _ in range(800))
