@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 #: Rows that a window of ``ranked`` holds, about.
-RANK_ROWS = 4096
+RANK_ROWS = 512
 
 _scratch: list[tuple[SparkSession, str]] = []
 
