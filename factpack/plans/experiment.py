@@ -27,9 +27,7 @@ def run(spark: SparkSession, plan: str, tasks: dict[str, tuple[str, str]], files
         raise ValueError("; ".join(f"{r.status} selector {r.ord} of {r.task_id}: {r.failure}" for r in lost))
     units = keep(scoring.units(program))
     observed = specs.observations(spark, observations) if observations else spark.createDataFrame([], specs.OBSERVATIONS)
-    if bad := provenance.unmatched(observed, program).select("family", "reason").union(provenance.violations(observed, program).select("family", "reason")).limit(3).collect():
-        raise ValueError("; ".join(f"{r.family}: {r.reason}" for r in bad))
-    records = keep(provenance.attach(program, observed))
+    records = keep(provenance.checked(program, observed))
     traces = keep(provenance.trace_summaries(units, records))
 
     asked = runs.where("provider = 'compiled_pack'").select(F.concat_ws("|", "case_id", "budget").alias("query_id"), "query", "budget", "repo_id").distinct()

@@ -35,6 +35,9 @@ TIERS = {
     "statically_proved": ("static_derivation_rule", "deterministic_static"), "runtime_backed": ("runtime_probe_identity", "reproducible_runtime"),
     "heuristic_frontier": ("heuristic_rule", "non_proof_heuristic"), "unsupported_opaque": ("unsupported_reason_code", "opaque_boundary"),
 }
+#: The steps a record is visible to unless it says less, and the tiers that some kinds of subject are bound to.
+VISIBILITY = ("render", "compile", "diagnose")
+SUBJECT_TIERS = {"frontier_item": ["heuristic_frontier", "runtime_backed"], "unsupported_finding": ["unsupported_opaque", "runtime_backed"]}
 _AT = ["file_path", "sl", "sc", "el", "ec"]
 
 
@@ -80,6 +83,14 @@ def violations(observed: DataFrame, program: Program) -> DataFrame:
     return rows.select("repo_id", "family", "construct_id", reason.alias("reason")).where("reason is not null")
 
 
+def checked(program: Program, observed: DataFrame) -> DataFrame:
+    """``attach``, or ValueError with up to three observations that have no site or may not be attached."""
+    bad = unmatched(observed, program).select("family", "reason").union(violations(observed, program).select("family", "reason")).limit(3).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.family}: {r.reason}" for r in bad))
+    return attach(program, observed)
+
+
 def attach(program: Program, observed: DataFrame) -> DataFrame:
     """Provenance rows (repo_id, record_id, subject_id, family, tier, origin, ...) of the observations.
 
@@ -92,21 +103,50 @@ def attach(program: Program, observed: DataFrame) -> DataFrame:
     detail = F.concat(F.lit("{"), F.concat_ws(",", durable, *parts), F.lit("}"))
     kind = F.lit("unsupported_finding")
     rows = rows.withColumn("origin_detail", detail)
-    return rows.select("repo_id", X.digest_id("prov:runtime:unsupported_finding:", kind, F.col("construct_id"), F.col("origin_detail")).alias("record_id"), F.col("construct_id").alias("subject_id"), kind.alias("subject_kind"), "family", F.lit("runtime_backed").alias("tier"), F.lit(TIERS["runtime_backed"][0]).alias("origin"), F.lit(TIERS["runtime_backed"][1]).alias("replay"), "origin_detail", "snapshot", "links", "normalized_payload", F.col("file_path").alias("path"), "sl", "sc", "el", "ec")
+    return rows.select("repo_id", X.digest_id("prov:runtime:unsupported_finding:", kind, F.col("construct_id"), F.col("origin_detail")).alias("record_id"), F.col("construct_id").alias("subject_id"), kind.alias("subject_kind"), "family", F.lit("runtime_backed").alias("tier"), F.lit(TIERS["runtime_backed"][0]).alias("origin"), F.lit(TIERS["runtime_backed"][1]).alias("replay"), "origin_detail", "snapshot", "links", "normalized_payload", F.col("file_path").alias("path"), "sl", "sc", "el", "ec", F.array(*[F.lit(x) for x in VISIBILITY]).alias("visibility"))
+
+
+def visible(records: DataFrame, to: str = "compile") -> DataFrame:
+    """The records that a later step (render, compile or diagnose) may see."""
+    return records.where(F.array_contains("visibility", to))
 
 
 def trace_summaries(units: DataFrame, records: DataFrame) -> DataFrame:
-    """Each unit's primary tier and its runtime records in order."""
+    """Each unit's primary tier and its runtime records in order, of the records that compiling may see."""
     tier = F.when(F.col("kind") == "proven_symbol", "statically_proved").when(F.col("kind") == "unresolved_frontier", "heuristic_frontier").otherwise("unsupported_opaque")
-    attached = records.groupBy("repo_id", F.col("subject_id").alias("unit_id")).agg(F.array_sort(F.collect_set(F.when(F.col("tier") == "runtime_backed", F.col("record_id")))).alias("runtime_records"), F.min(F.when(F.col("tier") != "runtime_backed", F.struct("record_id", "tier"))).alias("first"))
+    attached = visible(records).groupBy("repo_id", F.col("subject_id").alias("unit_id")).agg(F.array_sort(F.collect_set(F.when(F.col("tier") == "runtime_backed", F.col("record_id")))).alias("runtime_records"), F.min(F.when(F.col("tier") != "runtime_backed", F.struct("record_id", "tier"))).alias("first"))
     rows = units.select("repo_id", "unit_id", "kind").join(attached, ["repo_id", "unit_id"], "left")
     ids = F.coalesce("runtime_records", F.array().cast("array<string>"))
     return rows.select("repo_id", "unit_id", F.coalesce("first.tier", tier).alias("primary_tier"), (F.size(ids) > 0).alias("has_runtime"), ids.alias("runtime_records"))
 
 
 def contract_violations(records: DataFrame) -> DataFrame:
-    """Records whose origin or replay status is not what their tier implies, or whose id repeats."""
-    rules = F.create_map(*[F.lit(x) for k, (o, r) in TIERS.items() for x in (k, f"{o}|{r}")])
-    wrong = records.where(F.coalesce(F.element_at(rules, F.col("tier")) != F.concat_ws("|", "origin", "replay"), F.lit(True))).select("repo_id", "record_id", F.lit("tier_contract").alias("reason"))
+    """(repo_id, record_id, reason): a row for each promise that a record breaks, or whose id repeats.
+
+    records are rows as ``attach`` makes them, of any tier. Nulls count as empty.
+    """
+    tiers = F.create_map(*[F.lit(x) for k, (o, r) in TIERS.items() for x in (k, f"{o}|{r}")])
+    subjects = F.create_map(*[y for k, v in SUBJECT_TIERS.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    repeats = lambda xs: F.coalesce(F.size(F.array_distinct(xs)) < F.size(xs), F.lit(False))
+    backed = F.coalesce(F.col("tier") == "runtime_backed", F.lit(False))
+    promises = {
+        "no_record_id": F.coalesce("record_id", F.lit("")) == "",
+        "no_subject_id": F.coalesce("subject_id", F.lit("")) == "",
+        "no_origin_detail": blank("origin_detail"),
+        "no_site": F.col("path").isNull() | F.col("sl").isNull(),
+        "no_visibility": size("visibility") < 1,
+        "visibility_repeats": repeats(F.col("visibility")),
+        "links_repeat": repeats(F.transform("links", lambda x: x["attachment_id"])),
+        "tier_contract": F.coalesce(F.element_at(tiers, F.col("tier")) != F.concat_ws("|", "origin", "replay"), F.lit(True)),
+        "subject_tier": ~F.coalesce(F.array_contains(F.element_at(subjects, F.col("subject_kind")), F.col("tier")), F.lit(True)),
+        "no_snapshot": backed & F.col("snapshot").isNull(),
+        "no_links": backed & (size("links") < 1),
+        "snapshot_without_runtime": ~backed & F.col("snapshot").isNotNull(),
+        "links_without_runtime": ~backed & (size("links") > 0),
+    }
+    broken = F.filter(F.array(*[F.when(c, k) for k, c in promises.items()]), lambda x: x.isNotNull())
+    wrong = records.select("repo_id", "record_id", F.explode(broken).alias("reason"))
     again = records.groupBy("repo_id", "record_id").agg(F.count("*").alias("n")).where("n > 1").select("repo_id", "record_id", F.lit("record_repeats").alias("reason"))
     return wrong.unionByName(again)

@@ -14,6 +14,9 @@ from .semantics import Program
 PROVEN_FLOOR, BARE_FLOOR, BACKED_FLOOR, EXPANSION = (0.95, 0.60), (0.12, 0.25), (0.25, 0.45), 0.65
 FILE, FUNCTION, PYTHON = r"File\s+[\"']([^\"']+)[\"']", r",\s+in\s+([A-Za-z_][A-Za-z0-9_]*)", r"[A-Za-z0-9_./\\-]+\.py"
 RANK = {"identity": 0, "summary": 1, "source": 2}
+#: What a grounded unit can be, and the kinds of boundary.
+STATUSES = ("omitted", "too_shallow", "sufficiently_represented")
+BOUNDARIES = ("statically_proved", *[f"{t}_{s}" for t in ("heuristic_frontier", "unsupported_opaque") for s in ("missing_runtime_support", "with_attached_runtime_support")])
 _KEYS = ["miss_id", "query_id", "repo_id"]
 
 
@@ -58,12 +61,17 @@ def ground(misses: DataFrame, units: DataFrame) -> DataFrame:
     return absent.union(edits).union(one).union(at_file.join(at_name, [*_KEYS, "unit_id"]).join(both, _KEYS, "left_semi")).distinct()
 
 
+def _boundary(tier, has_runtime):
+    support = F.when(has_runtime, "_with_attached_runtime_support").otherwise("_missing_runtime_support")
+    return F.when(tier == "statically_proved", tier).otherwise(F.concat(tier, support))
+
+
 def diagnose(misses: DataFrame, units: DataFrame, packed: DataFrame, traces: DataFrame) -> DataFrame:
     """(keys, unit_id, status, boundary, tier, has_runtime): omitted, too_shallow or sufficiently_represented."""
     held = packed.where("detail is not null").select("query_id", "repo_id", "unit_id", "detail")
     rows = ground(misses, units).join(held, ["query_id", "repo_id", "unit_id"], "left").join(traces, ["repo_id", "unit_id"], "left")
     proven = F.col("primary_tier") == "statically_proved"
-    boundary = F.when(proven, "statically_proved").otherwise(F.concat(F.col("primary_tier"), F.when(F.col("has_runtime"), "_with_attached_runtime_support").otherwise("_missing_runtime_support")))
+    boundary = _boundary(F.col("primary_tier"), F.col("has_runtime"))
     required = F.when(proven, 2).when(F.col("has_runtime"), 1).otherwise(0)
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("detail"))
     status = F.when(F.col("detail").isNull(), "omitted").when(rank < required, "too_shallow").otherwise("sufficiently_represented")
@@ -75,6 +83,35 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy(*_KEYS, "status", "boundary").agg(F.count("*").alias("n"))
 
 
+def dense_summary(misses: DataFrame, found: DataFrame) -> DataFrame:
+    """``summary`` with a row for every miss, status and kind of boundary, 0 where there is no unit."""
+    grid = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(b).alias("boundary")) for s in STATUSES for b in BOUNDARIES])
+    cells = misses.select(*_KEYS).distinct().select(*_KEYS, F.inline(grid))
+    return cells.join(summary(found), [*_KEYS, "status", "boundary"], "left").fillna(0, ["n"])
+
+
+def violations(misses: DataFrame, units: DataFrame, found: DataFrame, traces: DataFrame) -> DataFrame:
+    """(keys, unit_id, reason): what a diagnosis must not say.
+
+    The statuses part the grounded units: each has exactly one, and no other unit has any. A boundary
+    follows from its unit's tier and runtime support, and both are those of the unit's trace.
+    """
+    at = [*_KEYS, "unit_id"]
+    grounded = ground(misses, units).withColumn("grounded", F.lit(True))
+    said = found.groupBy(*at).agg(F.count("*").alias("n"), F.count_distinct("status").alias("statuses"))
+    both = grounded.join(said, at, "full")
+    parted = both.select(*at, F.when(F.col("n").isNull(), "not_classified").when(F.col("grounded").isNull(), "not_grounded").when(F.col("statuses") > 1, "statuses_overlap").when(F.col("n") > 1, "unit_repeats").alias("reason"))
+    kept = traces.select("repo_id", "unit_id", F.col("primary_tier").alias("kept_tier"), F.col("has_runtime").alias("kept_runtime"))
+    rows = found.join(kept, ["repo_id", "unit_id"], "left")
+    odd = F.filter(F.array(
+        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown_status"),
+        F.when(~F.col("boundary").eqNullSafe(_boundary(F.col("tier"), F.col("has_runtime"))), "boundary_differs"),
+        F.when(F.col("kept_tier").isNotNull() & ~F.col("kept_tier").eqNullSafe(F.col("tier")), "tier_differs_from_trace"),
+        F.when(F.col("kept_runtime").isNotNull() & ~F.col("kept_runtime").eqNullSafe(F.col("has_runtime")), "runtime_differs_from_trace"),
+    ), lambda x: x.isNotNull())
+    return parted.where("reason is not null").unionByName(rows.select(*at, F.explode(odd).alias("reason")))
+
+
 #: What is said of n units by status and kind of boundary (not every pair can occur).
 _STATIC, _HEURISTIC, _OPAQUE = "statically proved unit(s)", "heuristic frontier unit(s)", "unsupported/opaque unit(s)"
 _BACKED, _BARE = "_with_attached_runtime_support", "_missing_runtime_support"

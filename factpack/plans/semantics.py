@@ -42,9 +42,12 @@ class Program:
     dependencies: DataFrame
     frontier: DataFrame
     unsupported: DataFrame
+    #: Records of runtime evidence, where the analysis was given observations.
+    provenance: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        held = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {k: v for k, v in held.items() if v is not None}
 
 
 def _of(facts: DataFrame, fact: str) -> DataFrame:

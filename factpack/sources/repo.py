@@ -51,6 +51,16 @@ def scan(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
     return whole.select(F.lit(repo_id).alias("repo_id"), "path", "content")
 
 
+def scan_file(spark: SparkSession, root: str, path: str, repo_id: str = "repo") -> DataFrame:
+    """(repo_id, path, content) of the one file ``path`` (relative to root); an empty file has empty content."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root, path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    if size == 0:
+        return from_texts(spark, {repo_id: {path: ""}})
+    files = spark.read.format("binaryFile").load(at.toString())
+    return files.select(F.lit(repo_id).alias("repo_id"), F.lit(path).alias("path"), "content")
+
+
 def from_texts(spark: SparkSession, repos: dict[str, dict[str, str]]) -> DataFrame:
     rows = [(r, p, bytearray(t.encode())) for r, files in repos.items() for p, t in files.items()]
     return spark.createDataFrame(rows, "repo_id string, path string, content binary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from functools import reduce
 
 import pytest
 
@@ -11,6 +12,8 @@ from factpack.plans import evaluation as E
 from factpack.plans import experiment
 from factpack.plans import provenance, refine, scoring, semantics
 from factpack.sources import ledger, repo, specs
+from factpack.tables import cut
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILES = {
@@ -184,7 +187,7 @@ def test_experiment(spark, files, tmp_path):
 def test_provenance(spark, program):
     observed = specs.observations(spark, {"r": json.dumps(OBSERVED)})
     assert provenance.unmatched(observed, program).count() == 0 and provenance.violations(observed, program).count() == 0
-    records = provenance.attach(program, observed)
+    records = cut(provenance.attach(program, observed))
     got = records.collect()
     assert len(got) == 1
     detail = json.dumps({"probe_identifier": "p", "probe_contract_revision": "1", "replay_target": "t", "replay_selector": "s", "replay_inputs": {"a": "1", "b": "2"}, "runtime_assumptions": {}, "normalized_payload": {"lookup_outcome": "returned_value"}}, sort_keys=True, separators=(",", ":"))
@@ -192,6 +195,17 @@ def test_provenance(spark, program):
     digest = hashlib.sha256(f"unsupported_finding\n{got[0].subject_id}\n{detail}".encode()).hexdigest()[:24]
     assert got[0].record_id == f"prov:runtime:unsupported_finding:{digest}"
     assert provenance.contract_violations(records).count() == 0
+    assert provenance.visible(records).count() == 1 and provenance.visible(records.withColumn("visibility", F.array(F.lit("render")))).count() == 0
+    broken = {
+        "no_subject_id": {"subject_id": F.lit("")}, "no_origin_detail": {"origin_detail": F.lit("  ")}, "no_site": {"sl": F.lit(None).cast("int")},
+        "no_visibility": {"visibility": F.expr("cast(array() as array<string>)")}, "visibility_repeats": {"visibility": F.array(F.lit("render"), F.lit("render"))},
+        "links_repeat": {"links": F.concat("links", "links")}, "tier_contract": {"origin": F.lit("heuristic_rule")}, "no_links": {"links": F.slice("links", 1, 0)},
+    }
+    all_broken = reduce(DataFrame.union, [records.withColumns(change | {"repo_id": F.lit(reason)}).select(records.columns) for reason, change in broken.items()])
+    assert sorted((r.repo_id, r.reason) for r in provenance.contract_violations(all_broken).collect()) == sorted((x, x) for x in broken)
+    static = records.withColumns({"tier": F.lit("statically_proved"), "origin": F.lit("static_derivation_rule"), "replay": F.lit("deterministic_static")})
+    assert {r.reason for r in provenance.contract_violations(static).collect()} == {"subject_tier", "snapshot_without_runtime", "links_without_runtime"}
+    assert provenance.contract_violations(records.union(records)).collect()[0].reason == "record_repeats"
     one = OBSERVED["getattr_runtime_observations"][0]
     bad = {"schema_version": "v1", "getattr_runtime_observations": [one | {"normalized_payload": [{"key": "lookup_outcome", "value": "returned_default_value"}]}], "hasattr_runtime_observations": [one]}
     seen = specs.observations(spark, {"r": json.dumps(bad)})
@@ -203,14 +217,14 @@ def test_provenance(spark, program):
 
 def test_refinement(spark, program):
     queries = spark.createDataFrame([("q", "rest", 12)], "query_id string, query string, budget int")
-    packed, units = C.pack_units(program, queries), scoring.units(program)
+    packed, units = C.pack_units(program, queries), cut(scoring.units(program))
     observed = specs.observations(spark, {"r": json.dumps(OBSERVED)})
-    traces = provenance.trace_summaries(units, provenance.attach(program, observed))
+    traces = cut(provenance.trace_summaries(units, provenance.attach(program, observed)))
     misses = spark.createDataFrame([
         ("m1", "q", "r", "absent_symbol", "edit_me"), ("m2", "q", "r", "edit_to_omitted_path", "/home/x/zed.py"), ("m3", "q", "r", "out_of_pack_trace", 'File "app.py", line 7, in edit_me'),
         ("m4", "q", "r", "absent_symbol", "nobody"), ("m5", "q", "r", "absent_symbol", "getattr(order, 'name')"),
     ], "miss_id string, query_id string, repo_id string, kind string, evidence string")
-    found = refine.diagnose(misses, units, packed, traces)
+    found = cut(refine.diagnose(misses, units, packed, traces))
     got = {}
     for r in found.collect():
         got.setdefault(r.miss_id, set()).add((r.unit_id.split(":")[-1], r.status, r.boundary))
@@ -220,6 +234,22 @@ def test_refinement(spark, program):
     said = {r.miss_id: r.reason for r in refine.reasons(misses, found).collect()}
     assert said["m1"] == "Grounded 1 semantic unit(s). 1 statically proved unit(s) were omitted due to budget pressure."
     assert said["m4"] == "Could not ground the evidence to accepted semantic unit IDs."
+    dense = refine.dense_summary(misses, found)
+    assert dense.count() == 5 * 3 * 5 and dense.agg(F.sum("n")).first()[0] == found.count()
+    # every variant of the diagnosis is a set of misses of its own, so that one plan tells them all apart
+    lost = F.col("miss_id") == "m5"
+    variants = {
+        "": found, "not_classified": found.where("miss_id != 'm1'"), "statuses_overlap": found.union(found.withColumn("status", F.lit("too_shallow"))),
+        "boundary_differs": found.withColumn("boundary", F.when(lost, "statically_proved").otherwise(F.col("boundary"))),
+        "unknown_status": found.withColumn("status", F.when(lost, "lost").otherwise(F.col("status"))),
+        "not_grounded": found.union(found.where(lost).withColumn("miss_id", F.lit("m4"))),
+    }
+    mark = lambda rows, name: rows.withColumn("miss_id", F.concat(F.lit(name + ":"), F.col("miss_id"))).select(rows.columns)
+    told = reduce(DataFrame.union, [mark(rows, name) for name, rows in variants.items()])
+    every = reduce(DataFrame.union, [mark(misses, name) for name in variants])
+    got = {tuple(r.miss_id.split(":")) + (r.reason,) for r in refine.violations(every, units, cut(told), traces).collect()}
+    assert {(name, reason) for name, _, reason in got} == {(name, name) for name in variants if name}
+    assert {miss for name, miss, _ in got if name in ("boundary_differs", "unknown_status")} == {"m5"}
     again, changes = refine.recompile(program, queries, misses, units, packed, traces, 400)
     chosen = {r.unit_id.split(":")[-1]: r.change for r in changes.collect()}
     assert chosen["app.edit_me"] == "newly_selected"

@@ -175,9 +175,26 @@ def test_public_surface(spark, tmp_path):
         at.write_text(text)
     answer = json.loads(api.tool_response(spark, json.dumps({"repo_root": str(tmp_path / "src"), "query": "change convert", "budget": 150})))
     assert answer["ok"] and answer["total_tokens"] <= 150 and "shop/money.py" in answer["document"]
-    assert not json.loads(api.tool_response(spark, '{"query": 1}'))["ok"]
     program = api.analyse_repository(spark, str(tmp_path / "src"))
     assert {r.path for r in program.facts.select("path").distinct().collect()} == set(samples.SHOP)
+    assert [x["site"]["file_path"] for x in answer["syntax_diagnostics"]] == ["shop/broken.py"] and answer["unsupported_constructs"]
+    assert sum(x["token_count"] for x in answer["selected_units"]) <= 150 and set(answer["unresolved_frontier"][0]["site"]["span"]) == {"start_line", "start_column", "end_line", "end_column"}
+    assert api.mirror_violations(spark, json.dumps(answer), program).count() == 0
+    lost = answer | {"unsupported_constructs": answer["unsupported_constructs"][1:]}
+    assert [r.section for r in api.mirror_violations(spark, json.dumps(lost), program).collect()] == ["unsupported_constructs"]
+    one = api.analyse_repository(spark, str(tmp_path / "src"), path="shop/money.py")
+    assert [r.path for r in one.facts.select("path").distinct().collect()] == ["shop/money.py"]
+    with pytest.raises(ValueError):
+        api.analyse_repository(spark, str(tmp_path / "src"), telepathy_runtime_observations=[])
+
+
+@pytest.mark.parametrize("asked, code", [
+    ("{", "invalid_arguments"), ('{"repo_root": "r", "query": "q", "budget": 1, "x": 1}', "invalid_arguments"), ('{"query": "q", "budget": 1}', "invalid_repo_root"), ('{"repo_root": "r", "query": 1, "budget": 1}', "invalid_query"),
+    ('{"repo_root": "r", "query": "q", "budget": true}', "invalid_budget"), ('{"repo_root": "r", "query": "q", "budget": 1, "include_document": 1}', "invalid_include_document"), ('{"repo_root": "/nowhere/at/all", "query": "q", "budget": 9}', "compile_failed"),
+])
+def test_wrong_calls(spark, asked, code):
+    answer = json.loads(api.tool_response(spark, asked))
+    assert not answer["ok"] and answer["error_code"] == code and answer["error"]
 
 
 def test_bundle(spark, tmp_path):

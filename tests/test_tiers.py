@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from factpack.plans import tier_refine as R
 from factpack.plans import tiers as T
 from factpack.sources import outline, repo
 
@@ -75,6 +77,47 @@ def test_packs(spark):
     assert {r.reason for r in small} <= {None, "budget_pressure", "low_relevance", "dependency_only"}
 
 
+MISSES = "miss_id string, query_id string, repo_id string, kind string, evidence string"
+
+
+def test_misses_meet_symbols(spark, built):
+    asked = {
+        "id": ("absent_symbol", " pkg/models.py::User.say "), "name": ("absent_symbol", "build"), "dotted": ("absent_symbol", "pkg.models.User"), "part": ("absent_symbol", "ree"), "none": ("absent_symbol", "nobody"),
+        "file": ("edit_to_omitted", "service.py"), "trace": ("out_of_pack_trace", "File 'main.py', line 4, in greet"), "bare": ("out_of_pack_trace", "see /home/x/main.py"),
+    }
+    misses = spark.createDataFrame([(k, "q", "r", *v) for k, v in asked.items()], MISSES)
+    got = {}
+    for r in R.ground(misses, built[0]).collect():
+        got.setdefault(r.miss_id, set()).add(r.node_id)
+    assert got == {
+        "id": {"pkg/models.py::User.say"}, "name": {"pkg/service.py::build"}, "dotted": {"pkg/models.py::User"}, "part": {"pkg/models.py::User.greet"},
+        "file": {"pkg/service.py::build", "pkg/service.py::run"}, "trace": {"main.py::main", "pkg/models.py::User.greet"}, "bare": {"main.py::main"},
+    }
+
+
+def test_what_shows_enough(spark):
+    rows = spark.createDataFrame([(k, t) for k in ("function", "constant") for t in (*T.TIERS, None)], "kind string, tier string")
+    got = {(r.kind, r.tier) for r in rows.where(R.sufficient(F.col("kind"), F.col("tier"))).collect()}
+    assert got == {("function", "slice"), ("function", "full"), ("constant", "summary"), ("constant", "stub"), ("constant", "slice"), ("constant", "full")}
+
+
+def test_tier_refinement(spark, built):
+    files = repo.from_texts(spark, {"r": FILES})
+    queries = spark.createDataFrame([("q", "main", 20)], "query_id string, query string, budget int")
+    packed = T.cut(T.compile_tiers(files, queries))
+    before = {r.node_id: r for r in packed.collect()}
+    misses = spark.createDataFrame([("m", "q", "r", "absent_symbol", "run"), ("n", "q", "r", "absent_symbol", "nobody")], MISSES)
+    said = {r.miss_id: r for r in R.diagnose(misses, built[0], built[1], packed).collect()}
+    assert said["m"].missed_units == ["pkg/service.py::run"] and said["m"].recommended_expansions == ["pkg/service.py::build", "pkg/service.py::run"]
+    shown = before["pkg/service.py::run"].token_cost > 0
+    assert said["m"].reason == (R.INSUFFICIENT if shown else R.PRESSED) % "run"
+    assert said["n"].missed_units == [] and said["n"].reason == "No matching symbols found in the graph."
+    again, new = R.recompile(files, queries, misses, packed, 400)
+    tiers = {r.node_id: r.tier for r in again.collect()}
+    assert tiers["pkg/service.py::run"] in ("slice", "full") and {r.budget for r in again.collect()} == {420}
+    assert {r.node_id for r in new.collect()} == {k for k, t in tiers.items() if t not in (None, "omit") and before[k].tier in (None, "omit")}
+
+
 def test_upgrades_fit():
     draw = random.Random(7)
     for _ in range(200):
