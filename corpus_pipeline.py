@@ -9,11 +9,15 @@ travels as one struct, so columns named like an operator's own are safe.
 3. near dedup: of each component of the 5-word-shingle Jaccard join at 0.8 one document stays.
 4. mixing: all documents, in the Pfair order of their sources: the files and the rows in them follow
    the schedule, so every prefix has each source within a block of its share until one runs out.
-5. packing: the pieces of all documents with their sequences.
+5. packing: the pieces of all documents with their sequences, which are numbered in the mixed order: every
+   prefix of the sequences has the documents of a prefix of the order, but for one window of the packing.
 """
 
 from __future__ import annotations
 
+import itertools
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +55,26 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select("row", "slot", "place").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
+def _positions(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and position (the place of a row in the order of the files and of their rows), and the last one.
+
+    Rows that are not read from Parquet are written in their order first.
+    """
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = _common.table(docs.select("doc_id", "text"))
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", at["file_name"].alias("file"), at["row_index"].alias("row"))
+    # a row for each file, which the driver lists anyway
+    sizes = sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect())
+    ends = [0, *itertools.accumulate(n for _, n in sizes)]
+    begins = docs.sparkSession.createDataFrame([(file, end) for (file, _), end in zip(sizes, ends, strict=False)], "file string, begin long")
+    return rows.join(F.broadcast(begins), "file").select("doc_id", "text", (F.col("begin") + F.col("row")).alias("position")), ends[-1] - 1
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_in_order(*_positions(docs))
 
 
 STAGES = [

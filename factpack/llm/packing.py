@@ -14,6 +14,10 @@ The plan is a list of bin patterns with their numbers; a step uses up a length o
 list has a few entries for each length. A piece finds its bin by its rank among the pieces of its length; ranks
 come from ``_common.ranked``, which never gathers a length in one task.
 
+``pack_in_order`` keeps to an order of the documents as well: windows of ``WINDOW`` documents are planned one by
+one, each a task's group (a document has one piece below the capacity at most), and sequences are numbered by the
+first document in them. So the sequences before any point hold the documents before it, but for one window.
+
 Results: a null text is empty: it has the id 2 alone. Rows that repeat an id are packed each for
 itself. An empty table gives no pieces. A text of any length is tokenised whole, alone if it is long. Where
 a text holds the string of one of the vocabulary's added tokens, that string is the token, as in the
@@ -34,8 +38,14 @@ from pyspark.sql import functions as F
 from ._common import documents, null_text, pieces, ranked, table
 
 CAPACITY, CLOSING = 1024, 2
+#: Documents that are planned together where their order counts.
+WINDOW = 1 << 14
+#: A sequence's number in an order is the position of its first document and, in these bits, a piece.
+PIECE_BITS = 24
 #: Texts of these characters alone split alike under every release of Unicode's classes.
 _PLAIN = re.compile("[\t\n\x20-\x7e¡-ɏ]*")
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _encoders: dict[str, tuple] = {}
 
 
@@ -77,20 +87,24 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece."""
+    """doc_id, piece, start, length and ids_crc32 of every piece, and position where docs has it."""
+    ordered = "position" in docs.columns
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), path), strict=True):
+                for at, ids in enumerate(encode(part.column("text").to_pylist(), path)):
                     raw = np.array([*ids, CLOSING], "<u4").tobytes()
-                    rows += [(doc_id, i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])) for i, (start, n) in enumerate(cut(len(raw) // 4, capacity))]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows += [(at, i, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])) for i, (start, n) in enumerate(cut(len(raw) // 4, capacity))]
+                at, *columns = zip(*rows, strict=True)
+                of = [part.column(c).take(pa.array(at)) for c in names]
+                made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([of[0], *made, *of[1:]], names=[names[0], "piece", "start", "length", "ids_crc32", *names[1:]])
 
-    docs = null_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names = ["doc_id", "position"] if ordered else ["doc_id"]
+    docs = null_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *names[1:]))
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", position long" if ordered else ""))
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -151,13 +165,26 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in out.items()}
 
 
+def place(length: np.ndarray, rank: np.ndarray, where: dict[int, tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bin and the offset of pieces by their lengths and their ranks among the pieces of their length."""
+    bins, offsets = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for size in np.unique(length).tolist():
+        at = np.flatnonzero(length == size)
+        ranks, first, offset = where[size]
+        k = np.searchsorted(ranks, rank[at], side="right") - 1
+        bins[at], offsets[at] = first[k] + rank[at] - ranks[k], offset[k]
+    return bins, offsets
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    cut_ = table(tokenise(docs, path, capacity))
+    cut_ = table(tokenise(docs.select("doc_id", "text"), path or vocabulary(), capacity))
     # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
     for row in cut_.groupBy("length").count().collect():
@@ -166,18 +193,35 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
     def run(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for size in np.unique(length).tolist():
-                at = np.flatnonzero(length == size)
-                ranks, bins, offsets = where[size]
-                k = np.searchsorted(ranks, rank[at], side="right") - 1
-                sequence[at], offset[at] = bins[k] + rank[at] - ranks[k], offsets[k]
+            sequence, offset = place(batch.column("length").to_numpy(), batch.column("rank").to_numpy(), where)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     placed = ranked(cut_, ["length"], ["doc_id", "piece", "start", "ids_crc32"], int(counts.max(initial=0)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(run, SCHEMA)
+
+
+def pack_in_order(docs: DataFrame, last: int, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """The columns of ``pack``; docs has ``position`` too, the places (long) from 0 to ``last`` of its rows, and
+    sequences are numbered by their first document's."""
+    windows, size = max(1, (last + 1) // WINDOW), WINDOW
+    cut_ = table(tokenise(docs, path or vocabulary(), capacity))
+    # whole sequences, of which a document can have any number, need no plan
+    full = cut_.where(F.col("length") == capacity)
+    own = F.shiftleft("position", PIECE_BITS).bitwiseOR(F.col("piece").cast("long"))
+    full = full.select(*_PIECE, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut_.where(F.col("length") < capacity).withColumn("window", F.least((F.col("position") / size).cast("long"), F.lit(windows - 1)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        length, position = rows.column("length").to_numpy(), rows.column("position").to_numpy()
+        order, rank = np.argsort(length, kind="stable"), np.zeros(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.searchsorted(length[order], length[order])
+        bins, offsets = place(length, rank, places(plan(np.bincount(length, minlength=capacity + 1), capacity)))
+        # the rows are in order, so the first one of a bin is its first document
+        _, first, of = np.unique(bins, return_index=True, return_inverse=True)
+        return rows.select(_PIECE).append_column("sequence_id", pa.array(position[first][of] << PIECE_BITS)).append_column("offset", pa.array(offsets))
+
+    return full.unionByName(rest.groupBy("window").applyInArrow(run, SCHEMA))
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

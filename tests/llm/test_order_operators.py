@@ -289,3 +289,27 @@ def test_mixing_stage_orders_the_files(spark, tmp_path):
         for source, share in plan.items():
             assert abs(order[:n].count(source) - share * n) <= 2 * mixing.BLOCK
     assert json.dumps(sorted(plan)) == json.dumps(["hot", "s0", "s2", "s4"])
+
+
+def test_packing_stage_follows_the_mixed_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 500)
+    data = [(i, prose(i, 1500 if i % 400 == 0 else 5 + i % 7), "en", "hot" if i % 2 else f"s{i % 6}", 0) for i in range(2200)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    corpus_pipeline.mix(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for p in sorted(Path(f"{tmp_path}/mixed").glob("part-*")) for r in spark.read.parquet(str(p)).coalesce(1).collect()]
+    got = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert check_packing(data, got, 1024) <= 1.02 * len({r.sequence_id for r in packing.pack(docs).collect()}) + 4
+    # the sequences before a window's begin hold the documents before it, and no others
+    for n in (500, 1000, 1500):
+        assert {r.doc_id for r in got if r.sequence_id < n << packing.PIECE_BITS} == set(order[:n])
+    at = {id_: i for i, id_ in enumerate(order)}
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append(at[r.doc_id])
+    assert all(min(v) == k >> packing.PIECE_BITS for k, v in held.items())
+    # rows that come from no file keep their order too
+    assert check_packing(data, corpus_pipeline.pack(spark, docs, "").collect(), 1024) == len({r.sequence_id for r in corpus_pipeline.pack(spark, docs, "").collect()})
+
+
+def test_packing_stage_without_rows(spark, none):
+    assert corpus_pipeline.pack(spark, none, "").collect() == []
