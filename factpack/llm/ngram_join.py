@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import documents, drop, null_text, pieces, table
+from ._common import documents, drop, null_text, pieces, release, table
 from ._graph import components
 
 WORDS, PERCENT = 5, 80
@@ -215,6 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
     side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
     linked = table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
@@ -224,7 +225,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
 
 def T_ROWS(batch: pa.RecordBatch) -> int:
     """Rows of a batch of pairs to work on at once, so that their texts take some megabytes."""
-    return int(batch.num_rows * (4 << 20) / max(1, batch.nbytes))
+    return int(batch.num_rows * (1 << 20) / max(1, batch.nbytes))
 
 
 def _across(shared: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
@@ -239,8 +240,8 @@ def _across(shared: DataFrame, sets: DataFrame, linked: DataFrame, percent: int)
     # a row goes to each pair of blocks that has its own: (i, j) with i <= j
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
     rows = rows.select("sig", "key", "c", "block", "blocks", other)
-    # signatures with few members share a group, so that a group is some thousand rows
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(1 + total // (8 * BLOCK)))).otherwise(F.col("sig")).alias("cell")
+    # signatures with few members share a group, so that a group is a thousand rows or two (a sketch has kilobytes)
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(1 + total // BLOCK))).otherwise(F.col("sig")).alias("cell")
     rows = rows.select(cell, "sig", "key", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(sets.select("key", "sketch", "n_shingles"), "key")
 
@@ -268,6 +269,8 @@ def _across(shared: DataFrame, sets: DataFrame, linked: DataFrame, percent: int)
         cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
         for a, b in itertools.pairwise(cuts):
             found.update(compare(key[a:b], c[a:b], block[a:b], n[a:b], raw[a:b], i[a] != j[a]))
+        del raw, cells
+        release()
         return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(x) for _, x in found], pa.int64())})
 
     return rows.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long").distinct()
