@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import text as X
-from ..functions.text import cosine
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -15,24 +17,113 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
-#: Probes of a block: what meets each vector at once.
-PROBE_BLOCK = 256
+#: Probes and rows of a block: each pair of blocks is one task's group.
+PROBE_BLOCK, ROW_BLOCK = 4096, 16384
+#: Pairs that are bounded, and pairs that are worked out, at once.
+_BOUNDED, _EXACT = 1 << 21, 1 << 16
 
 
 def nearest(rows: DataFrame, id_: str, vector: str, probes: DataFrame, probe: str, probe_vector: str, k: int) -> DataFrame:
     """(probe, id, score): the k rows of the highest cosine for each probe of a stated set.
 
-    Probes are gathered into blocks of a bounded size, and each row goes to each block: an equi-join on the
-    block, so that neither side has to fit a task, however many probes there are.
+    Probes and rows are dealt into blocks of a bounded size that meet by their numbers, so neither side has to fit a task.
+    Within a pair of blocks a product of matrices, with a bound on its rounding error, leaves the pairs that can be among a probe's
+    first k; their cosines are worked out as ``text.cosine`` does, in its order, and k rows a probe go on to the last pick.
+    A null vector has a null score, which comes last.
     """
-    n = 1 + probes.count() // PROBE_BLOCK
-    held = probes.withColumn("_block", F.pmod(F.xxhash64(probe), F.lit(n)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(probe, probe_vector)).alias("_probes"))
-    dealt = rows.select(id_, vector, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
-    met = dealt.join(held, "_block").select(id_, vector, F.explode("_probes").alias("_p")).select(id_, vector, f"_p.{probe}", f"_p.{probe_vector}").where(F.col(id_) != F.col(probe))
-    scored = met.select(probe, id_, F.round(cosine(F.col(probe_vector), F.col(vector)), 6).alias("score"))
+    probes, rows = probes.select(probe, probe_vector), rows.select(id_, vector)
+    n, m = 1 + probes.count() // PROBE_BLOCK, 1 + rows.count() // ROW_BLOCK
+    deal = lambda df, key, blocks, mine, other, others: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    left = deal(rows.where(F.col(id_).isNotNull()), id_, m, "_row", "_probe", n)
+    right = deal(probes.where(F.col(probe).isNotNull()), probe, n, "_probe", "_row", m)
+
+    def run(r: pa.Table, p: pa.Table) -> pa.Table:
+        if not r.num_rows or not p.num_rows:
+            return pa.table({probe: r.column(id_).slice(0, 0) if not p.num_rows else p.column(probe).slice(0, 0), id_: r.column(id_).slice(0, 0), "score": pa.array([], pa.float64())})
+        r = r.take(pa.compute.sort_indices(r.column(id_)))
+        at, to, score = first_by_cosine(p.column(probe_vector), r.column(vector), p.column(probe), r.column(id_), k)
+        return pa.table({probe: p.column(probe).take(at), id_: r.column(id_).take(to), "score": score})
+
+    types = {c: t for df in (probes, rows) for c, t in df.dtypes}
+    met = right.groupBy("_row", "_probe").cogroup(left.groupBy("_row", "_probe"))
+    scored = met.applyInArrow(lambda p, r: run(r, p), f"`{probe}` {types[probe]}, `{id_}` {types[id_]}, score double")
     return top_k(scored, [probe], [F.col("score").desc(), F.col(id_)], k)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles (zeros behind the shorter ones), their lengths (-1: null), and whether an element is null."""
+    held = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(held), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pa.compute.list_flatten(held)
+    gaps = pa.compute.is_null(flat).to_numpy(zero_copy_only=False)
+    values = pa.compute.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    full = np.maximum(sizes, 0)
+    out = np.zeros((len(sizes), max(1, int(full.max(initial=0)))))
+    row = np.repeat(np.arange(len(sizes)), full)
+    column = np.arange(len(values)) - np.repeat(np.cumsum(full) - full, full)
+    out[row, column] = values
+    return out, sizes, np.bincount(row[gaps], minlength=len(sizes)) > 0
+
+
+def first_by_cosine(probes: pa.ChunkedArray, vectors: pa.ChunkedArray, own: pa.ChunkedArray, ids: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Places of probes and vectors and their cosines, to six decimals: k pairs a probe, or all. Vectors are in the order of their ids."""
+    (a, na, ga), (b, nb, gb) = _matrix(probes), _matrix(vectors)
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+    # a probe does not meet itself
+    groups = pa.compute.dictionary_encode(pa.chunked_array([*ids.chunks, *own.cast(ids.type).chunks])).combine_chunks()
+    code = groups.indices.to_numpy()
+    mine, theirs = code[len(ids) :], code[: len(ids)]
+
+    def norms(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for d in range(width):
+            total += x[:, d] * x[:, d]
+        return np.sqrt(total)
+
+    with np.errstate(all="ignore"):
+        la, lb = norms(a), norms(b)
+        plain = lambda x, size, gap, n: (size >= 0) & ~gap & np.isfinite(x).all(axis=1) & (n > 1e-100) & (n < 1e100)
+        fa, fb = plain(a, na, ga, la), plain(b, nb, gb, lb)
+        ua = np.where(fa[:, None], a / la[:, None], 0).astype(np.float32)
+        ub = np.where(fb[:, None], b / lb[:, None], 0).astype(np.float32)
+        # twice the error of a product of unit vectors in single precision, and a unit of the sixth decimal
+        margin = np.float32(2e-6 + 4 * (width + 4) * 2.0**-23)
+        found = []
+        step = max(1, _BOUNDED // max(1, len(b)))
+        for start in range(0, len(a), step):
+            rough = ua[start : start + step] @ ub.T
+            rough[mine[start : start + step, None] == theirs[None, :]] = -np.inf
+            # the k-th of the first vectors is a lower bound on the k-th of all
+            some = rough[:, fb][:, : 64 * k] if not fb.all() else rough[:, : 64 * k]
+            least = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - margin if some.shape[1] > k else np.full(len(rough), -np.inf, np.float32)
+            able = (rough >= least[:, None]) | ~fb[None, :] | ~fa[start : start + step, None]
+            i, j = np.nonzero(able)
+            keep = mine[start + i] != theirs[j]
+            i, j = start + i[keep], j[keep]
+            score, void = np.zeros(len(i)), np.zeros(len(i), bool)
+            for s in range(0, len(i), _EXACT):
+                p, q = i[s : s + _EXACT], j[s : s + _EXACT]
+                dot, x, y = np.zeros(len(p)), a[p], b[q]
+                common = np.minimum(na[p], nb[q])
+                for d in range(width):
+                    dot += np.where(d < common, x[:, d] * y[:, d], 0.0)
+                zero = ga[p] | gb[q] | (la[p] == 0) | (lb[q] == 0)
+                score[s : s + _EXACT] = np.where(zero, 0.0, dot / (la[p] * lb[q]))
+                void[s : s + _EXACT] = (na[p] < 0) | (nb[q] < 0)
+            score[void] = 0.0
+            whole = np.floor(np.abs(score) * 1e6)
+            whole += np.abs(score) * 1e6 - whole >= 0.5
+            score = np.copysign(whole, score) / 1e6 + 0.0
+            # as Spark orders: NaN is the greatest, null the last
+            order = np.lexsort((j, -np.where(np.isnan(score), np.inf, score), ~np.isnan(score), void, i))
+            rank = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            order = order[rank < k]
+            found.append((i[order], j[order], score[order], void[order]))
+    i, j, score, void = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, pa.array(score, mask=void)
+
+
 def greedy_fit(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
     """Items in order, each taken if it still fits its key's budget: (keys, item, running). No cost is negative.
 

@@ -140,6 +140,23 @@ def test_greedy_fit_is_brute_force(spark):
 
 
 
+def test_nearest_is_brute_force_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(folds, "PROBE_BLOCK", 5)
+    monkeypatch.setattr(folds, "ROW_BLOCK", 70)
+    draw = random.Random(2)
+    data = [(i, [draw.gauss(0, 1) for _ in range(16)]) for i in range(300)]
+    data += [(300 + i, [x + draw.gauss(0, 1e-4) for x in data[0][1]]) for i in range(30)] + [(400 + i, data[10][1]) for i in range(30)]
+    data += [(500, None), (510, []), (520, [0.0] * 16), (530, [1.0] * 3), (540, [float("nan")] + [1.0] * 15), (550, [None] + [1.0] * 15), (560, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (10, data[10][1])]
+    rows = spark.createDataFrame(data, "id long, v array<float>").repartition(3)
+    probes = rows.where("id % 10 = 0").select(F.col("id").alias("p"), F.col("v").alias("e"))
+    found = folds.nearest(rows, "id", "v", probes, "p", "e", 8)
+    both = F.col("e").isNotNull() & F.col("v").isNotNull()  # as in SQL, a null vector has no score
+    every = probes.crossJoin(rows).where("p != id").select("p", "id", F.when(both, F.round(X.cosine(F.col("e"), F.col("v")), 6)).alias("score"))
+    want = folds.top_k(every, ["p"], [F.col("score").desc(), F.col("id")], 8).collect()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want)) and len(want) > 300
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([("HTTPServer parse_v2 ABC1",), ("",), (None,)], "t string")
     got = [r[0] for r in rows.select(X.tokens(F.col("t"))).collect()]
