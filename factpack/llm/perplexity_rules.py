@@ -41,7 +41,8 @@ from ._common import documents, drop, null_text, pieces, table
 ORDER = 5
 #: Bits of a code point, and all there can be: the lowest order spreads its weight over them evenly.
 BITS, ALPHABET = 21, 0x110000
-LOWER, UPPER, CELL, CELLS = 16.0, 30.0, 0.005, 4000
+#: Robust deviations from a language's middle to its bands: 3.5 is the usual bound of outliers by median and MAD.
+LOWER, UPPER, CELL, CELLS = 3.5, 3.5, 0.005, 4000
 LEAST_SPREAD, LEAST_DOCS = 0.02, 100
 #: Bytes of text of a block, about, and n-grams of a part of the sorted arrays.
 BLOCK_BYTES, PART_ROWS = 16 << 20, 1 << 18

@@ -332,6 +332,16 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     assert all(got[i].kept or got[i].base_failed for i in range(len(good)))
 
 
+def test_bands_leave_outliers_out_on_both_sides(spark):
+    draw = random.Random(12)
+    bulk = [draw.gauss(1.5, 0.03) for _ in range(2000)]
+    apart = [1.5 + 0.03 * x for x in (-9, -6, 6, 9)]
+    scored = spark.createDataFrame([("en", x, False) for x in bulk + apart] + [("en", 9.0, True)], "lang string, surprise double, base_failed boolean")
+    low, high = P.bands(scored)["en"]
+    assert not any(low <= x <= high for x in apart)
+    assert np.mean([low <= x <= high for x in bulk]) > 0.995
+
+
 def graded(n):
     draw, docs, labels = random.Random(11), [], []
     for i in range(n):
